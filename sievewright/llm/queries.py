@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .ctph import fingerprint_matches
+from .linededup import repeated_lines
 from .mixing import mix_sources
 from .simhash import near_duplicate_groups
 
@@ -32,6 +33,42 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op4_document_fingerprints, op6_byte_bpe)}
-
-ORACLES: dict[str, str] = {}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "documents")).drop("h")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op4_document_fingerprints, op6_byte_bpe, op7_line_dedup)}
+
+_LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, line_no, line, strlen(line) AS size FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) t WHERE line <> ''),
+each AS (SELECT line, size, count(*) AS n, min(struct_pack(d := doc_id, l := line_no)) AS first FROM lines GROUP BY line, size),
+longer AS (SELECT line, size - unnest([0, 1, 2]) AS fits FROM each WHERE size >= 20),
+pairs AS (
+  SELECT a.line AS a, b.line AS b FROM (
+    SELECT line, size, substr(line, 1, length(line) // 3) AS s1, substr(line, length(line) // 3 + 1, length(line) // 3) AS s2,
+           substr(line, 2 * (length(line) // 3) + 1) AS s3 FROM each WHERE size >= 20) a
+  JOIN longer b ON b.fits = a.size
+  WHERE a.line <> b.line AND (strlen(b.line) > a.size OR a.line < b.line)
+    AND (contains(b.line, a.s1) OR contains(b.line, a.s2) OR contains(b.line, a.s3)) AND levenshtein(a.line, b.line) <= 2),
+ways AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs UNION ALL SELECT line, line FROM each),
+groups AS (
+  SELECT x AS line, sum(n) AS n_lines, min(first) AS first FROM ways JOIN each ON each.line = ways.y GROUP BY x HAVING sum(n) > 1),
+marked AS (
+  SELECT doc_id, line_no, size, n_lines, first, (first.d = doc_id AND first.l = line_no) AS is_first,
+         line_no > min(line_no) OVER (PARTITION BY doc_id, first) AS inn
+  FROM lines JOIN groups USING (line)),
+outs AS (SELECT *, NOT is_first AND NOT inn AND n_lines > 6 AS outer_ FROM marked),
+lost AS (
+  SELECT doc_id, sum(CASE WHEN outer_ THEN size ELSE 0 END) AS ob, sum(CASE WHEN inn THEN size ELSE 0 END) AS ib FROM outs GROUP BY doc_id),
+spared AS (
+  SELECT doc_id FROM lost JOIN (SELECT doc_id, sum(size) AS bytes FROM lines GROUP BY doc_id) s USING (doc_id)
+  WHERE ob > 0 AND ob > 0.5 * (bytes - ib))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first.d AS first_doc_id, CAST(first.l AS INTEGER) AS first_line_no, CAST(n_lines AS BIGINT) AS n_lines,
+       (inn OR (outer_ AND doc_id NOT IN (SELECT doc_id FROM spared))) AS removed
+FROM outs
+"""
+
+ORACLES: dict[str, str] = {"op7_line_dedup": _LINE_DEDUP_SQL}
