@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .ctph import fingerprint_matches
+from .langid import identify_languages
 from .linededup import repeated_lines
 from .mixing import mix_sources
+from .quality import score_quality, train_quality_model
 from .simhash import near_duplicate_groups
 
 
@@ -25,10 +27,19 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_matches(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality_model(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +48,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op4_document_fingerprints, op6_byte_bpe, op7_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_quality_rules, op6_byte_bpe, op7_line_dedup)}
 
 _LINE_DEDUP_SQL = """
 WITH lines AS (
