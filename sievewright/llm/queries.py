@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .chat import as_transcripts, format_transcripts, train_role_model
 from .ctph import fingerprint_matches
 from .langid import identify_languages
 from .linededup import repeated_lines
 from .mixing import mix_sources
 from .quality import score_quality, train_quality_model
 from .simhash import near_duplicate_groups
+from .tokenstore import token_store
+from .warc import convert_archives, pack_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +52,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_table(spark, sf_dir, "documents")).drop("h")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_quality_rules, op6_byte_bpe, op7_line_dedup)}
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return format_transcripts(as_transcripts(turns), train_role_model(turns))
+
+
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = convert_archives(pack_pages(_table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo'")
+    return records.select("record_id", "warc_type", "target_uri", "warc_date", "ip_address", "content_type", "content_length", "block_digest", "payload_digest", F.col("record").cast("string").alias("record"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_chat_formatting, op9_arc_to_warc, op10_token_store)}
 
 _LINE_DEDUP_SQL = """
 WITH lines AS (
@@ -82,4 +100,45 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first.d AS first_doc_id, CAS
 FROM outs
 """
 
-ORACLES: dict[str, str] = {"op7_line_dedup": _LINE_DEDUP_SQL}
+# The transcripts mark every speaker, so the roles to recover are those of the table.
+_CHAT_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations),
+full_ AS (SELECT * FROM said WHERE content <> ''),
+marked AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS opens FROM full_),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM marked),
+turns AS (SELECT conv_id, k, min(role) AS role, string_agg(content, chr(10) ORDER BY turn) AS content FROM numbered GROUP BY conv_id, k)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, list(role ORDER BY k) AS roles,
+       string_agg('<|' || role || '|>' || chr(10) || content || chr(10) || '<|end|>' || chr(10), '' ORDER BY k) AS rendered
+FROM turns GROUP BY conv_id
+"""
+
+
+def _base32(hex40: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    return f"""'sha1:' || array_to_string(list_transform(range(32), lambda i: substr('{letters}',
+      1 + ((CAST('0x' || substr({hex40} || '0', CAST((5 * i) // 4 + 1 AS BIGINT), 3) AS INTEGER) >> CAST(7 - (5 * i) % 4 AS INTEGER)) & 31), 1)), '')"""
+
+
+_WARC_SQL = f"""
+WITH pages_ AS (
+  SELECT url, html, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS block,
+    strftime(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(page_id), '%Y%m%d%H%M%S') AS arc_date,
+    strftime(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
+  FROM pages),
+hashed AS (SELECT *, sha1(block) AS bh, sha1(html) AS ph FROM pages_),
+digested AS (SELECT *, {_base32('bh')} AS block_digest, {_base32('ph')} AS payload_digest FROM hashed),
+named AS (SELECT *, md5(url || ' ' || warc_date || ' ' || block_digest) AS h FROM digested),
+ids AS (
+  SELECT *, '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21) || '>' AS record_id,
+    chr(13) || chr(10) AS nl FROM named)
+SELECT record_id, 'response' AS warc_type, url AS target_uri, warc_date, CAST(NULL AS VARCHAR) AS ip_address, 'application/http; msgtype=response' AS content_type,
+  CAST(strlen(block) AS BIGINT) AS content_length, block_digest, payload_digest,
+  'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Date: ' || warc_date || nl
+    || 'WARC-Target-URI: ' || url || nl || 'WARC-Block-Digest: ' || block_digest || nl || 'WARC-Payload-Digest: ' || payload_digest || nl
+    || 'Content-Type: application/http; msgtype=response' || nl || 'Content-Length: ' || strlen(block) || nl || nl || block || nl || nl AS record
+FROM ids
+"""
+
+ORACLES: dict[str, str] = {"op7_line_dedup": _LINE_DEDUP_SQL, "op8_chat_formatting": _CHAT_SQL, "op9_arc_to_warc": _WARC_SQL}
