@@ -22,6 +22,11 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, feeds[start] - feeds[offsets[row]], start, end
 
 
+def line_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """63-bit hashes of lines; the lowest bit is 0."""
+    return span_hash(prefix, start, end) & ~np.uint64(1)
+
+
 def segments(size: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i of tau + 1 for lines of these sizes; the longer ones come last."""
     parts = tau + 1
@@ -116,7 +121,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, j in blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 row, number, start, end = _lines(part, offsets[i : j + 1] - offsets[i])
-                h = span_hash(prefix_hash(part), start, end).view(np.int64)
+                h = line_hash(prefix_hash(part), start, end).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(number.astype(np.int32)), pa.array(h), pa.array((end - start).astype(np.int32))], ["doc_id", "line_no", "h", "size"])
 
     return _thin(docs, id_col, text_col).mapInArrow(run, "doc_id long, line_no int, h long, size int")
@@ -127,7 +132,7 @@ def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _key_rows(docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, h, probe) of lines of ``least`` bytes or more; a line's repeats in one block of text are left out."""
+    """(key, h) of lines of ``least`` bytes or more, h being a probe's where its lowest bit is 1; a line's repeats in one block of text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,24 +145,25 @@ def _key_rows(docs: DataFrame, tau: int, least: int) -> DataFrame:
                 if not len(start):
                     continue
                 prefix = prefix_hash(part)
-                h, first = np.unique(span_hash(prefix, start, end), return_index=True)
+                h, first = np.unique(line_hash(prefix, start, end), return_index=True)
                 start, size, h = start[first], (end - start)[first], h.view(np.int64)
-                for probe, found in ((False, index_keys(prefix, start, size, tau)), (True, probe_keys(prefix, start, size, tau, least))):
+                for probe, found in ((0, index_keys(prefix, start, size, tau)), (1, probe_keys(prefix, start, size, tau, least))):
                     got = list(found)
                     line, key = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[line]), pa.array(np.full(len(line), probe))], ["key", "h", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[line] | probe)], ["key", "h"])
 
-    return docs.mapInArrow(run, "key long, h long, probe boolean")
+    return docs.mapInArrow(run, "key long, h long")
 
 
 def _met(cols: list[np.ndarray], budget: int = 1 << 20) -> pa.RecordBatch:
     """(a, b), a < b: hashes of which one's probe met the other's segment, each pair once a stretch."""
-    key, h, probe = cols
-    order = np.lexsort((h, probe, key))
-    key, h, probe = key[order], h[order], probe[order]
+    key, h = cols
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (probe[1:] != probe[:-1])
-    key, h, probe = key[new], h[new], probe[new]
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    key, h = key[new], h[new]
+    probe, h = (h & 1) == 1, h & ~1
     at_i, at_p = np.flatnonzero(~probe), np.flatnonzero(probe)
     low, high = np.searchsorted(key[at_i], key[at_p]), np.searchsorted(key[at_i], key[at_p], "right")
     count = high - low
@@ -201,7 +207,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, j in blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 _, _, start, end = _lines(part, offsets[i : j + 1] - offsets[i])
-                h, first = np.unique(span_hash(prefix_hash(part), start, end), return_index=True)
+                h, first = np.unique(line_hash(prefix_hash(part), start, end), return_index=True)
                 lines = pa.array([part[a:b].tobytes() for a, b in zip(start[first], end[first])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lines], ["h", "line"])
 
@@ -273,7 +279,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = data[offsets[r] : offsets[r + 1]]
                 _, number, start, end = _lines(part, np.array([0, len(part)]))
                 out = set(zip(no, hashes[r]))
-                h = span_hash(prefix_hash(part), start, end).view(np.int64)
+                h = line_hash(prefix_hash(part), start, end).view(np.int64)
                 drop = {n for n, x in zip(number.tolist(), h.tolist()) if (n, x) in out}
                 texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in drop)
                 if resize:
