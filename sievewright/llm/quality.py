@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .textblocks import blocks, prefix_hash, runs, segment_sum, span_hash, string_buffers, words
 
 FEATURES = (
@@ -202,11 +203,13 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
     An id with several labels takes the least. Labels that are null or of no document don't count. Without labels of both kinds
     the model has no trees and scores every document alike.
+
+    The chosen ids, never more than ``max_train_rows``, go to the documents: texts aren't shuffled.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows)
-    sample = docs.join(chosen, docs[id_col] == chosen["__id"]).select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"), "__label")
-    both = document_statistics(sample).join(chosen.withColumnRenamed("__id", "doc_id"), "doc_id").orderBy("doc_id", "statistics").select("statistics", "__label").toPandas()
+    chosen = cut(known.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows))
+    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"), "__label")
+    both = document_statistics(sample).join(F.broadcast(chosen.withColumnRenamed("__id", "doc_id")), "doc_id").orderBy("doc_id", "statistics").select("statistics", "__label").toPandas()
     if not len(both):
         return train_trees(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(both["statistics"].tolist()), (both["__label"].to_numpy() > 0).astype(np.float64)
