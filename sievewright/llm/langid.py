@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .textblocks import blocks, segment_sum, string_buffers
 
 BITS = 15
@@ -159,21 +160,22 @@ class LanguageModel:
 
 def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = 4000, holdout: float = 0.2) -> LanguageModel:
     """A model from at most ``max_train_rows`` labelled texts, those of least hashed id, equally many by language; the inverse
-    document frequencies are of all texts. A share ``holdout`` of the sample sets the temperature and isn't trained on.
+    document frequencies are of all texts. A repeated id stands for its least text. A share ``holdout`` of the sample sets the temperature and isn't trained on.
     """
     df, texts = document_frequencies(docs, text_col)
     idf = np.log((1 + texts) / (1 + df)) + 1.0
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != ""))
-    languages = tuple(sorted(r[0] for r in usable.select(F.col(lang_col).cast("string")).distinct().collect()))
+    # ids are chosen before texts move: tasks hand over keys, and only the chosen texts reach the driver
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.xxhash64(text_col).cast("string")))
+    usable = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(lang_col).cast("string").alias("l"), key.alias("k"), F.col(text_col).cast("string").alias("t"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit(3)), "k"))
+    chosen = cut(usable.select("l", "k", nth.alias("n")).where(F.col("n") <= max_train_rows))
+    languages = tuple(sorted(r["l"] for r in chosen.select("l").distinct().collect()))
     if not languages:
         return LanguageModel((), np.zeros((SIZE + 1, 0), np.float32), np.zeros(0), 1.0)
-    each = max(1, max_train_rows // len(languages))
-    by: list[str] = []
-    kinds: list[int] = []
-    for k, lang in enumerate(languages):
-        rows = usable.where(F.col(lang_col) == lang).select(F.col(text_col).alias("t"), F.xxhash64(id_col, F.lit(3)).alias("h")).orderBy("h", "t").limit(each).collect()
-        by += [r["t"] for r in rows]
-        kinds += [k] * len(rows)
+    few = chosen.where(F.col("n") <= max(1, max_train_rows // len(languages))).select("l", "k").distinct()
+    rows = usable.join(F.broadcast(few), ["l", "k"]).groupBy("l", "k").agg(F.min("t").alias("t")).collect()
+    rows.sort(key=lambda r: (r["l"], r["k"]))
+    by, kinds = [r["t"] for r in rows], [languages.index(r["l"]) for r in rows]
     labels = np.array(kinds)
     examples = [(at, x * idf[at]) for at, x in term_frequencies(by)]
     out = np.random.default_rng(11).random(len(by)) < holdout
