@@ -124,13 +124,18 @@ def train_ftrl(examples: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.nda
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden section over its logarithm; 1 without scores."""
+    """The temperature of least log loss, by golden section over its logarithm; 1 without scores.
+
+    Targets are smoothed, each class counting one example more, so that scores without a mistake don't make it vanish.
+    """
     if not len(scores):
         return 1.0
+    n, classes = scores.shape
+    target = np.full(scores.shape, 1.0 / (n + classes))
+    target[np.arange(n), labels] = (n + 1.0) / (n + classes)
 
     def loss(t: float) -> float:
-        p = _softmax(scores / np.exp(t))[np.arange(len(labels)), labels]
-        return float(-np.log(np.maximum(p, 1e-300)).mean())
+        return float(-(target * np.log(np.maximum(_softmax(scores / np.exp(t)), 1e-300))).sum(1).mean())
 
     a, b, r = -4.0, 4.0, (5**0.5 - 1) / 2
     for _ in range(60):
