@@ -85,6 +85,31 @@ def test_manhattan_bounds_hamming(v):
     assert np.bitwise_count(code[0] ^ code[1]).sum() <= np.bitwise_count(fp[0] ^ fp[1]).sum()
 
 
+def test_simhash_recall_at_the_limit(spark):
+    rng, pairs = np.random.default_rng(3), 400
+    fp = rng.integers(-(2**63), 2**63, (pairs, 4)).view(np.uint64)
+    other = fp.copy()
+    for r in range(pairs):
+        for bit in rng.choice(256, 32, replace=False):
+            other[r, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = [(i, *map(int, f)) for i, f in enumerate(np.concatenate([fp, other]).view(np.int64))]
+    docs = spark.createDataFrame(rows, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    table, simhash.fingerprint_table = simhash.fingerprint_table, lambda docs, *_: docs
+    try:
+        got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    finally:
+        simhash.fingerprint_table = table
+    assert sum(got.get(i + pairs) == i for i in range(pairs)) >= 0.9 * pairs
+
+
+def test_simhash_grids_follow_rows():
+    for rows in (1, 10**6, 10**8, 10**10):
+        s = simhash.segments_for(rows)
+        assert s == 10 or 100 < rows * 0.375**s <= 300
+        assert 1 - (1 - np.prod((224 - np.arange(2 * s)) / (256 - np.arange(2 * s)))) ** simhash.grids_for(s, 32) >= 0.9
+    assert simhash.grids_for(10, 0) == 1
+
+
 def test_simhash_odd(odd, none):
     groups = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(odd).collect()}
     assert groups[5] == groups[6] == 5 and 0 not in groups and 1 not in groups
