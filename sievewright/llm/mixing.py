@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,56 @@ def pfair_period(shares: Mapping[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def pfair_run(shares: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot, sources by place, until each has had its ``blocks``; releases and deadlines are ``pfair_period``'s.
+
+    Shares are whole numbers of any size and nothing but the sources is held, so that rounding is as small as their sum is large.
+    """
+    slots = sum(shares)
+    waiting = [(0, i) for i in range(len(shares))]
+    ready: list[tuple[int, int]] = []
+    given = [0] * len(shares)
+    short = sum(b > 0 for b in blocks)
+    t = 0
+    while short:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(given[i] + 1) * slots // shares[i]), i))
+        due, i = heapq.heappop(ready)
+        if due <= t:
+            raise AssertionError("a deadline was missed")
+        yield i, given[i]
+        given[i] += 1
+        short -= given[i] == blocks[i]
+        heapq.heappush(waiting, (given[i] * slots // shares[i], i))
+        t += 1
+
+
+def _schedule(facts: DataFrame) -> DataFrame:
+    """(mix_source, mix_own, mix_epoch, mix_block, mix_slot) of every slot of the run; one task streams it, holding the sources only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["mix_source"], r["mix_share"], r["mix_blocks"]) for batch in batches for r in batch.to_pylist())
+        names, size = pa.array([r[0] for r in rows], pa.string()), [r[2] for r in rows]
+        own: list[tuple[int, int]] = []
+        slot = 0
+
+        def batch() -> pa.RecordBatch:
+            at = pa.array([i for i, _ in own], pa.int64())
+            cols = [names.take(at), pa.array([b % size[i] for i, b in own], pa.int64()), pa.array([b // size[i] for i, b in own], pa.int32()), pa.array([b for _, b in own], pa.int64()), pa.array(range(slot - len(own), slot), pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["mix_source", "mix_own", "mix_epoch", "mix_block", "mix_slot"])
+
+        for turn in pfair_run([r[1] for r in rows], size):
+            own.append(turn)
+            slot += 1
+            if len(own) == 1 << 16:
+                yield batch()
+                own = []
+        yield batch()
+
+    return facts.select("mix_source", "mix_share", "mix_blocks").repartition(1).mapInArrow(run, "mix_source string, mix_own long, mix_epoch int, mix_block long, mix_slot long")
+
+
 _NONE = "\x00none"
 
 
@@ -74,69 +125,65 @@ def mix_sources(
     source_col: str = "source",
     id_col: str = "doc_id",
     block_rows: int = 16,
-    period: int = 4096,
+    period: int | None = None,
     exponent: float = 0.7,
     bucket_rows: int = 50_000,
 ) -> DataFrame:
     """docs in mixed order: all its columns and mix_source, mix_epoch, mix_block, mix_slot, mix_position.
 
     The rows of a source, in an order of their hashed ids, are dealt into blocks of ``block_rows``. Blocks take slots by
-    ``pfair_period``, whose schedule repeats, so that after any number of slots a source holds within one block of its share.
+    ``pfair_run``, so that after any number of slots a source holds within one block of its target weight's share.
     The mixture goes on until every source has been through once, which decides its length; a source that runs out starts
     over as another epoch. So no row is lost, and weights are kept to the end by repetition. ``mix_position`` orders the rows.
 
     ``weights`` by source, None for null; sources without a positive weight take no part, and weights for absent sources none
-    either. Without weights, ``smoothed_weights``. Weights are met to 1/period. An epoch's last block may be short; rows in it
+    either. Without weights, ``smoothed_weights``. Weights are met to 2**-62, however many sources there are; with a ``period``
+    to 1/period, at most so many sources, and the schedule repeats. An epoch's last block may be short; rows in it
     count as a block. Ids may be null or repeat: ties are ordered by the whole row's hash, and equal rows change places freely.
     Text isn't looked at. An empty table gives no rows. Columns of docs with the names above are replaced.
 
-    Ranks come from counts of hash buckets of about ``bucket_rows`` rows, so a large source is spread over many tasks and
-    what is broadcast is the period, never larger than ``period`` rows.
+    Ranks come from counts of hash buckets of about ``bucket_rows`` rows, so a large source is spread over many tasks. The
+    schedule is a table with a row for each block, made in one task, and goes to the buckets; nothing is broadcast by plan.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_source", "mix_epoch", "mix_block", "mix_slot", "mix_position")
     plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
     named = docs.withColumn("mix_source", _named(source_col)).withColumn("mix_h", F.xxhash64(F.col(id_col), F.lit(17)))
-    counts = {r["mix_source"]: r["n"] for r in named.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    counts = cut(named.groupBy("mix_source").agg(F.count("*").alias("mix_rows")))
     if weights is None:
-        wanted = {k: n**exponent for k, n in counts.items()}
+        facts = counts.withColumn("mix_weight", F.pow("mix_rows", F.lit(float(exponent))))
+    else:
+        given = [(_NONE if k is None else k, float(v)) for k, v in weights.items() if v > 0]
+        facts = counts.join(spark.createDataFrame(given, "mix_source string, mix_weight double"), "mix_source")
+    if period is None:
+        total = facts.agg(F.sum("mix_weight")).first()[0] or 1.0
+        facts = facts.withColumn("mix_share", F.greatest(F.lit(1), F.round(F.col("mix_weight") / F.lit(total) * F.lit(2.0**62)).cast("long")))
     else:
-        wanted = {(_NONE if k is None else k): v for k, v in weights.items() if (_NONE if k is None else k) in counts}
-    shares = quantise(wanted, period)
-    schema = "mix_source string, mix_share int, mix_rows long, mix_blocks long"
-    blocks = {k: -(-counts[k] // block_rows) for k in shares}
-    # every source's blocks fit in this many slots
-    order: dict[str, list[int]] = {k: [] for k in shares}
-    for slot, (k, _) in enumerate(pfair_period(shares)):
-        order[k].append(slot)
-    total = sum(shares.values())
-    slots = max([(b - 1) // shares[k] * total + order[k][(b - 1) % shares[k]] + 1 for k, b in blocks.items()], default=0)
-    facts = spark.createDataFrame([(k, shares[k], counts[k], blocks[k]) for k in shares], schema)
-    turns = spark.createDataFrame([(k, i, s) for k, at in order.items() for i, s in enumerate(at)], "mix_source string, mix_turn int, mix_at int")
-
-    buckets = max(1, -(-max(counts.values(), default=1) // bucket_rows))
+        shares = quantise({r["mix_source"]: r["mix_weight"] for r in facts.collect()}, period)
+        facts = facts.join(spark.createDataFrame(list(shares.items()), "mix_source string, mix_share long"), "mix_source")
+    facts = cut(facts.withColumn("mix_blocks", F.ceil(F.col("mix_rows") / block_rows).cast("long")))
+
+    buckets = max(1, -(-(counts.agg(F.max("mix_rows")).first()[0] or 1) // bucket_rows))
     # 2**63 hashes in equal ranges, so that the order of buckets is that of hashes
     high = F.shiftrightunsigned("mix_h", 1)
     keyed = named.withColumn("mix_bucket", F.least(F.lit(buckets - 1), F.floor(high / F.lit(2.0**63) * buckets)).cast("int"))
     sizes = keyed.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("mix_n"))
-    before = sizes.select("mix_source", "mix_bucket", (F.sum("mix_n").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("mix_n")).alias("mix_before"))
-    before = cut(before.join(F.broadcast(facts), "mix_source"))  # a row for each bucket: the input's rows / bucket_rows, and at least the sources
+    before = sizes.select("mix_source", "mix_bucket", "mix_n", (F.sum("mix_n").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("mix_n")).alias("mix_before"))
+    before = cut(before.join(facts.select("mix_source"), "mix_source"))  # a row for each bucket: the input's rows / bucket_rows, and at least the sources
+    # the turns of each block that has rows in a bucket, by the block's number in an epoch
+    turns = _schedule(facts).groupBy("mix_source", "mix_own").agg(F.collect_list(F.struct("mix_epoch", "mix_block", "mix_slot")).alias("mix_turns"))
+    first, final = (F.floor(x / block_rows).cast("long") for x in (F.col("mix_before"), F.col("mix_before") + F.col("mix_n") - 1))
+    held = before.select("mix_source", "mix_bucket", "mix_before", F.explode(F.sequence(first, final)).alias("mix_own")).join(turns, ["mix_source", "mix_own"])
+    held = cut(held.groupBy("mix_source", "mix_bucket", "mix_before").agg(F.sort_array(F.collect_list(F.struct("mix_own", "mix_turns"))).alias("mix_held")))
+
     within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_h", F.xxhash64(*plain))
-    ranked = keyed.withColumn("mix_r", F.row_number().over(within)).join(before, ["mix_source", "mix_bucket"])
-    rank = ranked.withColumn("mix_r", F.col("mix_before") + F.col("mix_r") - 1)
-    # a row's block comes again in every epoch while its slot is before the end
-    mine = F.floor(F.col("mix_r") / block_rows)
-    # block numbers of the source with a slot before the end: whole periods, and those of the last, part period
-    whole, part = divmod(slots, total) if total else (0, 0)
-    rest = spark.createDataFrame([(k, whole * shares[k] + sum(s < part for s in order[k])) for k in shares], "mix_source string, mix_total long")
-    epochs = rank.join(F.broadcast(rest), "mix_source").withColumn("mix_own", mine)
-    last = F.floor((F.col("mix_total") - 1 - F.col("mix_own")) / F.col("mix_blocks")).cast("int")
-    spread = epochs.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), last)))
-    spread = spread.withColumn("mix_block", (F.col("mix_epoch") * F.col("mix_blocks") + F.col("mix_own")).cast("long"))
-    spread = spread.withColumn("mix_turn", (F.col("mix_block") % F.col("mix_share")).cast("int")).join(F.broadcast(turns), ["mix_source", "mix_turn"])
-    slot = (F.floor(F.col("mix_block") / F.col("mix_share")) * total + F.col("mix_at")).cast("long")
-    spread = spread.withColumn("mix_slot", slot)
-    return spread.select(*docs.columns, F.when(F.col("mix_source") != _NONE, F.col("mix_source")).alias("mix_source"), "mix_epoch", "mix_block", "mix_slot", (F.col("mix_slot") * block_rows + F.col("mix_r") % block_rows).cast("long").alias("mix_position"))
+    ranked = keyed.withColumn("mix_r", F.row_number().over(within)).join(held, ["mix_source", "mix_bucket"])
+    rank = F.col("mix_before") + F.col("mix_r") - 1
+    mine = (F.floor(rank / block_rows) - F.floor(F.col("mix_before") / block_rows)).cast("int")
+    # a row comes again at every turn of its block
+    spread = ranked.select(*docs.columns, "mix_source", rank.alias("mix_r"), F.explode(F.get("mix_held", mine)["mix_turns"]).alias("mix_turn"))
+    slot = F.col("mix_turn.mix_slot")
+    return spread.select(*docs.columns, F.when(F.col("mix_source") != _NONE, F.col("mix_source")).alias("mix_source"), F.col("mix_turn.mix_epoch").alias("mix_epoch"), F.col("mix_turn.mix_block").alias("mix_block"), slot.alias("mix_slot"), (slot * block_rows + F.col("mix_r") % block_rows).cast("long").alias("mix_position"))
 
 
 def in_mixed_order(docs: DataFrame, spark: SparkSession | None = None, **how: object) -> DataFrame:

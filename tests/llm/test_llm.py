@@ -147,6 +147,23 @@ def test_mixing(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.distinct().count() == odd.distinct().count()
 
 
+def test_mixing_has_no_most_sources(spark):
+    docs = spark.createDataFrame([(i, f"s{i // 2}") for i in range(10_000)] + [(10_000, None)], "doc_id long, source string")
+    rows = mixing.mix_sources(docs, block_rows=1).collect()
+    assert {r["doc_id"] for r in rows} == set(range(10_001))
+    assert sorted(r["mix_slot"] for r in rows) == list(range(len(rows)))
+
+
+def test_mixing_keeps_to_target_weights(spark):
+    docs = spark.createDataFrame([(i, "hot") for i in range(20_000)] + [(20_000 + i, "rare") for i in range(2)], "doc_id long, source string")
+    rows = mixing.mix_sources(docs, {"hot": 1, "rare": 1e-4}, block_rows=1, bucket_rows=3000).orderBy("mix_position").collect()
+    rare = np.cumsum([r["source"] == "rare" for r in rows])
+    assert np.abs(rare - np.arange(1, len(rows) + 1) * 1e-4 / 1.0001).max() < 1
+    assert [r["mix_slot"] for r in rows] == list(range(len(rows))) and 20_000 <= len(rows) <= 20_004
+    for r in rows:
+        assert r["mix_block"] % (20_000 if r["source"] == "hot" else 2) + r["mix_epoch"] * (20_000 if r["source"] == "hot" else 2) == r["mix_block"]
+
+
 def test_langid(spark, odd, none):
     rng = random.Random(3)
     vocabulary = {"en": "the house and river with many people walking through".split(), "de": "das haus und der fluss mit vielen menschen durch".split(), "es": "la casa y el río con mucha gente por las".split()}
