@@ -227,6 +227,9 @@ def test_ctph_against_all_pairs(spark, odd, none):
                 best = score, j
         assert r["score"] == (best[0] or None), i
     assert sum(r["match_id"] is not None for r in got.values()) >= 40
+    lead = ctph.fingerprint_documents(docs).where("signature <> ''").dropDuplicates(["block_size", "signature", "signature2"]).cache()
+    best = [{r["doc_id"]: r["x"] for r in ctph.best_matches(lead, cell_rows=n).groupBy("doc_id").agg(F.min(F.struct(-F.col("score"), "other")).alias("x")).collect()} for n in (2, 1 << 14)]
+    assert best[0] == best[1] and len(best[0]) > 10
     rows = ctph.fingerprint_matches(odd).collect()
     by = {r["doc_id"]: r for r in rows}
     assert by[5]["match_id"] == 6 and by[1]["signature"] == "" and 0 not in by and None not in by
