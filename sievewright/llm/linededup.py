@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import whole_cells
+from . import bloom
+from .cells import meet_in_cells, strips
 from .lineage import cut
 from .textblocks import blocks, mix64, prefix_hash, runs, span_hash, string_buffers
 
@@ -22,9 +24,33 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, feeds[start] - feeds[offsets[row]], start, end
 
 
-def line_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """63-bit hashes of lines; the lowest bit is 0."""
-    return span_hash(prefix, start, end) & ~np.uint64(1)
+def line_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(lines, 2) longs: 128 bits of a keyed hash of each line's bytes, which stand for the line wherever lines are compared as equal."""
+    raw = data.tobytes()
+    out = b"".join([blake2b(raw[a:b], digest_size=16, key=b"line").digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+def _pointer(digest: np.ndarray) -> np.ndarray:
+    """63 bits of digests by which candidates are named; the lowest bit is 0."""
+    return digest[:, 0] & ~np.int64(1)
+
+
+def _parities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 bits by line: of how many bytes of each of 32 kinds it has an odd number. An edit turns two of them at most."""
+    bit = np.uint32(1) << (mix64(data.astype(np.uint64)) >> np.uint64(59)).astype(np.uint32)
+    upto = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(bit)])
+    return (upto[end] ^ upto[start]).view(np.int32)
+
+
+def _words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs of other bytes than blanks in each line."""
+    dark = ~np.isin(data, np.frombuffer(b" \t\r\v\f", np.uint8))
+    first = dark.copy()
+    first[1:] &= ~dark[:-1]
+    first[start] = dark[start]
+    upto = np.concatenate([[0], np.cumsum(first)])
+    return upto[end] - upto[start]
 
 
 def segments(size: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +77,7 @@ def probe_keys(prefix: np.ndarray, start: np.ndarray, size: np.ndarray, tau: int
     """(line, key) of the substrings that could be segments of a line as long or up to tau shorter, within tau edits.
 
     For segment i at p, and lines d shorter, a match shifted by x must have at most i edits before it and at most tau - i
-    after it: |x| <= i and |x - d| <= tau - i.
+    after it: |x| <= i and |x - d| <= tau - i. The line's own segments, where neither differs, are among the index keys.
     """
     for d in range(tau + 1):
         shorter = size - d
@@ -59,6 +85,8 @@ def probe_keys(prefix: np.ndarray, start: np.ndarray, size: np.ndarray, tau: int
         for i in range(tau + 1):
             at, n = segments(shorter[ok], i, tau)
             for x in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
+                if d == x == 0:
+                    continue
                 fit = np.flatnonzero((at + x >= 0) & (at + x + n <= size[ok]))
                 line = ok[fit]
                 begin = start[line] + at[fit] + x
@@ -111,8 +139,11 @@ def banded_distance(data: np.ndarray, a: np.ndarray, size_a: np.ndarray, b: np.n
     return out
 
 
+_LINE_SCHEMA = "doc_id long, line_no int, d1 long, d2 long, size int, words int"
+
+
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, h, size) of every non-empty line of every row with an id; h is the line's hash, size its bytes."""
+    """(doc_id, line_no, d1, d2, size, words) of every non-empty line of every row with an id; d1 and d2 are the line's digest, size its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,18 +152,27 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, j in blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 row, number, start, end = _lines(part, offsets[i : j + 1] - offsets[i])
-                h = line_hash(prefix_hash(part), start, end).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(number.astype(np.int32)), pa.array(h), pa.array((end - start).astype(np.int32))], ["doc_id", "line_no", "h", "size"])
+                d = line_digests(part, start, end)
+                cols = (ids[i:j][row], number.astype(np.int32), d[:, 0], d[:, 1], (end - start).astype(np.int32), _words(part, start, end).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in _LINE_SCHEMA.split(", ")])
 
-    return _thin(docs, id_col, text_col).mapInArrow(run, "doc_id long, line_no int, h long, size int")
+    return _thin(docs, id_col, text_col).mapInArrow(run, _LINE_SCHEMA)
 
 
 def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text <> ''")
 
 
+def _distinct_lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, start and end of each different line."""
+    d = line_digests(data, start, end)
+    _, first = np.unique(d.view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True)
+    return d[first], start[first], end[first]
+
+
 def _key_rows(docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, h) of lines of ``least`` bytes or more, h being a probe's where its lowest bit is 1; a line's repeats in one block of text are left out."""
+    """(key, h, p) of lines of ``least`` bytes or more: a segment's or, where h's lowest bit is 1, a probe's key, the line's pointer
+    and parities; a line's repeats in one block of text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,65 +181,58 @@ def _key_rows(docs: DataFrame, tau: int, least: int) -> DataFrame:
                 part = data[offsets[i] : offsets[j]]
                 _, _, start, end = _lines(part, offsets[i : j + 1] - offsets[i])
                 long = end - start >= least
-                start, end = start[long], end[long]
-                if not len(start):
+                if not long.any():
                     continue
                 prefix = prefix_hash(part)
-                h, first = np.unique(line_hash(prefix, start, end), return_index=True)
-                start, size, h = start[first], (end - start)[first], h.view(np.int64)
+                d, start, end = _distinct_lines(part, start[long], end[long])
+                size, h, parity = end - start, _pointer(d), _parities(part, start, end)
                 for probe, found in ((0, index_keys(prefix, start, size, tau)), (1, probe_keys(prefix, start, size, tau, least))):
                     got = list(found)
                     line, key = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[line] | probe)], ["key", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[line] | probe), pa.array(parity[line])], ["key", "h", "p"])
 
-    return docs.mapInArrow(run, "key long, h long")
+    return docs.mapInArrow(run, "key long, h long, p int")
 
 
-def _met(cols: list[np.ndarray], budget: int = 1 << 20) -> pa.RecordBatch:
-    """(a, b), a < b: hashes of which one's probe met the other's segment, each pair once a stretch."""
-    key, h = cols
-    order = np.lexsort((h, key))
-    key, h = key[order], h[order]
+def _met(cols: list[np.ndarray], half: np.ndarray, tau: int) -> list[np.ndarray]:
+    """(a, b), a < b: pointers of lines of which one's segment met the other's segment or probe, whose parities tau edits could part."""
+    key, h, p = cols
+    order = np.lexsort((half, h, key))
+    key, h, p, half = key[order], h[order], p[order], half[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-    key, h = key[new], h[new]
+    new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (half[1:] != half[:-1])
+    key, h, p, half = key[new], h[new], p[new], half[new]
     probe, h = (h & 1) == 1, h & ~1
-    at_i, at_p = np.flatnonzero(~probe), np.flatnonzero(probe)
-    low, high = np.searchsorted(key[at_i], key[at_p]), np.searchsorted(key[at_i], key[at_p], "right")
-    count = high - low
-    total = np.concatenate([[0], np.cumsum(count)])
     found = [np.zeros((0, 2), np.int64)]
-    done = 0
-    while done < len(at_p):
-        stop = max(done + 1, int(np.searchsorted(total, total[done] + budget, "right")) - 1)
-        n = count[done:stop]
-        left = h[np.repeat(at_p[done:stop], n)]
-        right = h[at_i[np.repeat(low[done:stop], n) + np.arange(int(n.sum())) - np.repeat(total[done:stop] - total[done], n)]]
-        pair = np.stack([np.minimum(left, right), np.maximum(left, right)], 1)
-        pair = pair[pair[:, 0] != pair[:, 1]]
-        if len(pair):
-            found.append(np.unique(pair, axis=0))
-        done = stop
-    pair = np.concatenate(found)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+    for a, b in strips(np.searchsorted(key, key, "right") - np.arange(len(key)) - 1):
+        near = np.bitwise_count((p[a] ^ p[b]).view(np.uint32)) <= 2 * tau
+        a, b = a[near], b[near]
+        ok = ~(probe[a] & probe[b]) & (h[a] != h[b]) & ((half[a] == 0) | (half[a] != half[b]))
+        a, b = h[a[ok]], h[b[ok]]
+        if len(a):
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+    pair = np.unique(np.concatenate(found), axis=0)
+    return [pair[:, 0], pair[:, 1]]
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least_bytes: int = 20) -> DataFrame:
-    """(a, b), a < b: hashes of different lines, of ``least_bytes`` or more each, within ``max_edits`` edits in bytes. Exact.
+    """(a1, a2, b1, b2): digests of different lines, of ``least_bytes`` or more each, within ``max_edits`` edits in bytes, each pair once. Exact.
 
     Lines are cut into max_edits + 1 segments. Two lines so near agree in a segment, at a place that lengths and edits bound; a
-    shuffle on (length, place, content) brings segments and the substrings that could match them together. Lines' texts are
-    fetched for pairs that meet, and only then compared.
+    shuffle on (length, place, content) brings segments and the substrings that could match them together. Of those that meet,
+    only pairs whose byte parities allow for so few edits leave the cell; their texts are fetched, through a Bloom filter, and
+    compared.
     """
     if not 0 <= max_edits < least_bytes:
         raise ValueError("max_edits must be less than least_bytes")
     thin = _thin(docs, id_col, text_col)
-    keys = _key_rows(thin, max_edits, least_bytes)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return whole_cells(batches, _met)
+    def compare(cols: list[np.ndarray], half: np.ndarray) -> list[np.ndarray]:
+        return _met(cols, half, max_edits)
 
-    pairs = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct())
+    pairs = cut(meet_in_cells(_key_rows(thin, max_edits, least_bytes), compare, ("a", "b")).distinct())
+    ends = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h")))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ends, 2 * pairs.count()))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,88 +240,116 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, j in blocks(offsets):
                 part = data[offsets[i] : offsets[j]]
                 _, _, start, end = _lines(part, offsets[i : j + 1] - offsets[i])
-                h, first = np.unique(line_hash(prefix_hash(part), start, end), return_index=True)
-                lines = pa.array([part[a:b].tobytes() for a, b in zip(start[first], end[first])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), lines], ["h", "line"])
+                long = end - start >= least_bytes
+                d, start, end = _distinct_lines(part, start[long], end[long])
+                keep = bloom.may_hold(wanted.value, _pointer(d))
+                lines = pa.array([part[a:b].tobytes() for a, b in zip(start[keep], end[keep])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_pointer(d[keep])), pa.array(d[keep, 0]), pa.array(d[keep, 1]), lines], ["h", "d1", "d2", "line"])
 
-    wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    found = cut(thin.mapInArrow(texts, "h long, line binary").join(wanted, "h", "left_semi").dropDuplicates(["h"]))
-    both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    found = cut(thin.mapInArrow(texts, "h long, d1 long, d2 long, line binary").dropDuplicates(["d1", "d2"]))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dx, ox, _ = string_buffers(batch.column(2))
-            dy, oy, _ = string_buffers(batch.column(3))
-            near = banded_distance(np.concatenate([dx, dy]), ox[:-1], np.diff(ox), oy[:-1] + len(dx), np.diff(oy), max_edits) <= max_edits
-            keep = pa.array(near)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    def side(name: str) -> DataFrame:
+        return found.select(F.col("h").alias(name), F.col("d1").alias(f"{name}1"), F.col("d2").alias(f"{name}2"), F.col("line").alias(f"{name}_line"))
 
+    names = ["a1", "a2", "b1", "b2"]
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_line", "b_line", *names)
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, least_bytes: int = 20, max_repeats: int = 6, max_share: float = 0.5) -> DataFrame:
-    """(doc_id, line_no, h, first_doc_id, first_line_no, n_lines, removed) for every line that has a copy, exact or near.
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dx, ox, _ = string_buffers(batch.column(0))
+            dy, oy, _ = string_buffers(batch.column(1))
+            keep = pa.array(banded_distance(np.concatenate([dx, dy]), ox[:-1], np.diff(ox), oy[:-1] + len(dx), np.diff(oy), max_edits) <= max_edits)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(2, 6)], names)
+
+    return both.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+
+
+def repeated_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_edits: int = 2,
+    least_bytes: int = 20,
+    max_repeats: int = 6,
+    long_words: int = 50,
+    copies: DataFrame | None = None,
+) -> DataFrame:
+    """(doc_id, line_no, d1, d2, first_doc_id, first_line_no, n_lines, removed) for every line that has a copy, exact or near.
 
     Lines end at line feeds and are compared byte by byte; near means at most ``max_edits`` edits between lines of
     ``least_bytes`` or more, and shorter lines match equal ones only. A line's copies are the lines near it, itself included:
     ``n_lines`` counts them, and the first is the one of least (doc_id, line_no). ``removed`` are, except for that first one,
 
-    * lines with more than ``max_repeats`` copies, unless the document would lose more than ``max_share`` of its bytes so: then
-      it is itself a copy, which is left whole for document dedup;
+    * lines of ``long_words`` words or more, and shorter ones with more than ``max_repeats`` copies: a passage that comes a second
+      time goes, while a heading may come a few times by chance;
     * lines that follow, in the same document, one with the same first copy.
 
+    ``copies`` (doc_id, group_id), if given, says which documents are copies of others of their group and go as a whole later:
+    the first of a line's copies is then the first in another document, if there is one, and a copy keeps lines whose first
+    stands in its own group, so that it stays alike to the document that it copies.
+
     Empty lines, null or empty texts and rows without id have no part in it. Rows that repeat an id with the same text count
     once. Other columns are ignored; an empty table gives no rows.
     """
-    lines = cut(line_table(docs, id_col, text_col).distinct())
+    digest = ["d1", "d2"]
+    lines = line_table(docs, id_col, text_col).distinct()
+    if copies is None:
+        lines = lines.withColumn("copy", F.lit(False)).withColumn("own", F.col("doc_id"))
+    else:
+        group = copies.select("doc_id", F.col("group_id").alias("own"), F.lit(True).alias("copy"))
+        lines = lines.join(group, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False))).withColumn("own", F.coalesce("own", "doc_id"))
+    lines = cut(lines)
     pairs = cut(near_lines(docs, id_col, text_col, max_edits, least_bytes))
-    each = cut(lines.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")))
-    ways = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = ways.join(each.withColumnRenamed("h", "b"), "b").select(F.col("a").alias("h"), "n", "first")
-    copied = each.where("n > 1").select("h", "n", "first").unionAll(other).unionAll(ways.select(F.col("a").alias("h")).distinct().join(each.where("n = 1"), "h").select("h", "n", "first"))
-    groups = copied.groupBy("h").agg(F.sum("n").alias("n_lines"), F.min("first").alias("first"))
-    marked = lines.join(groups, "h").withColumn("is_first", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no")))
+    each = cut(lines.groupBy(*digest).agg(F.count("*").alias("n"), F.min(F.struct("copy", "doc_id", "line_no", "own")).alias("first")))
+    ways = pairs.unionAll(pairs.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+    near = ways.join(each, (F.col("b1") == F.col("d1")) & (F.col("b2") == F.col("d2"))).groupBy("a1", "a2").agg(F.sum("n").alias("n2"), F.min("first").alias("first2"))
+    groups = each.join(near, (F.col("d1") == F.col("a1")) & (F.col("d2") == F.col("a2")), "left").where("n > 1 OR n2 IS NOT NULL").select(*digest, (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n_lines"), F.least("first", F.coalesce("first2", "first")).alias("first"))
+    marked = lines.join(groups, digest)
     # the first of its document among lines with the same first copy
-    within = marked.groupBy("doc_id", "first").agg(F.min("line_no").alias("own"))
-    marked = cut(marked.join(within, ["doc_id", "first"]).withColumn("inner", F.col("line_no") > F.col("own")).withColumn("outer", ~F.col("is_first") & ~F.col("inner") & (F.col("n_lines") > max_repeats)))
-    lost = marked.groupBy("doc_id").agg(F.sum(F.when(F.col("outer"), F.col("size")).otherwise(0)).alias("outer_bytes"), F.sum(F.when(F.col("inner"), F.col("size")).otherwise(0)).alias("inner_bytes")).where("outer_bytes > 0")
-    sizes = lines.groupBy("doc_id").agg(F.sum("size").alias("bytes"))
-    whole = lost.join(sizes, "doc_id").where(F.col("outer_bytes") > max_share * (F.col("bytes") - F.col("inner_bytes"))).select("doc_id", F.lit(True).alias("spared"))
-    return marked.join(whole, "doc_id", "left").select("doc_id", "line_no", "h", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "n_lines", (F.col("inner") | (F.col("outer") & F.col("spared").isNull())).alias("removed"))
+    inner = F.col("line_no") > F.min("line_no").over(Window.partitionBy("doc_id", "first"))
+    itself = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
+    often = (F.col("n_lines") > max_repeats) | (F.col("words") >= long_words)
+    kin = F.col("copy") & (F.col("first.own") == F.col("own"))
+    return marked.select("doc_id", "line_no", *digest, F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "n_lines", (inner | (~itself & often & ~kin)).alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **how: object) -> DataFrame:
     """docs without the lines that ``repeated_lines`` removes; every row stays. Empty lines stay, other texts stay as they are.
 
-    ``length_col``, where docs has it, becomes the new text's characters in rows that changed.
+    ``length_col``, where docs has it, becomes the new text's characters in rows that changed. Columns keep their names,
+    whatever these are.
     """
-    gone = repeated_lines(docs, id_col, text_col, **how).where("removed").select(F.col("doc_id").alias("__id"), F.struct("line_no", "h").alias("l"))
-    gone = cut(gone.groupBy("__id").agg(F.collect_list("l.line_no").alias("__no"), F.collect_list("l.h").alias("__h")))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left")
+    gone = repeated_lines(docs, id_col, text_col, **how).where("removed").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("line_no", "d1", "d2")).alias("gone"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     names, resize = docs.columns, bool(length_col) and length_col in docs.columns
+    text_at, length_at = names.index(text_col), names.index(length_col) if resize else None
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, _ = string_buffers(batch.column(batch.schema.get_field_index(text_col)))
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            sizes = batch.column(batch.schema.get_field_index(length_col)).to_pylist() if resize else []
-            numbers, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__no", "__h"))
-            for r, no in enumerate(numbers):
-                if no is None or texts[r] is None:
-                    continue
-                part = data[offsets[r] : offsets[r + 1]]
-                _, number, start, end = _lines(part, np.array([0, len(part)]))
-                out = set(zip(no, hashes[r]))
-                h = line_hash(prefix_hash(part), start, end).view(np.int64)
-                drop = {n for n, x in zip(number.tolist(), h.tolist()) if (n, x) in out}
-                texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in drop)
+            row, out = batch.column(0), batch.column(1)
+            cols = row.flatten()
+            touched = np.flatnonzero(out.is_valid().to_numpy(zero_copy_only=False) & cols[text_at].is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                pick = pa.array(touched)
+                texts = []
+                data, offsets, _ = string_buffers(cols[text_at].take(pick))
+                for r, lost in enumerate(out.take(pick).to_pylist()):
+                    part = data[offsets[r] : offsets[r + 1]]
+                    _, number, start, end = _lines(part, np.array([0, len(part)]))
+                    lost = {(x["line_no"], x["d1"], x["d2"]) for x in lost}
+                    drop = {n for n, a, b in zip(number.tolist(), *line_digests(part, start, end).T.tolist()) if (n, a, b) in lost}
+                    texts.append("\n".join(x for n, x in enumerate(part.tobytes().decode("utf-8", "replace").split("\n")) if n not in drop))
+                cols[text_at] = _replaced(cols[text_at], touched, texts)
                 if resize:
-                    sizes[r] = len(texts[r])
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
-            cols[text_col] = pa.array(texts, cols[text_col].type)
-            if resize:
-                cols[length_col] = pa.array(sizes, cols[length_col].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    touched = joined.where("__id IS NOT NULL").mapInArrow(rewrite, docs.schema)
-    return joined.where("__id IS NULL").select(*docs.columns).unionByName(touched)
+                    cols[length_at] = _replaced(cols[length_at], touched, [len(t) for t in texts])
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.join(gone, "id", "left").select("row", "gone").mapInArrow(rewrite, docs.schema)
+
+
+def _replaced(column: pa.Array, at: np.ndarray, values: list) -> pa.Array:
+    """column with these values at these places; unchanged stretches aren't copied through Python."""
+    new = pa.array(values).cast(column.type)
+    index = np.arange(len(column))
+    index[at] = len(column) + np.arange(len(at))
+    return pa.concat_arrays([column, new]).take(pa.array(index))

@@ -49,7 +49,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(_table(spark, sf_dir, "documents")).drop("h")
+    return repeated_lines(_table(spark, sf_dir, "documents")).drop("d1", "d2")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,18 +86,12 @@ ways AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs UNION
 groups AS (
   SELECT x AS line, sum(n) AS n_lines, min(first) AS first FROM ways JOIN each ON each.line = ways.y GROUP BY x HAVING sum(n) > 1),
 marked AS (
-  SELECT doc_id, line_no, size, n_lines, first, (first.d = doc_id AND first.l = line_no) AS is_first,
+  SELECT doc_id, line_no, line, n_lines, first, (first.d = doc_id AND first.l = line_no) AS is_first,
          line_no > min(line_no) OVER (PARTITION BY doc_id, first) AS inn
-  FROM lines JOIN groups USING (line)),
-outs AS (SELECT *, NOT is_first AND NOT inn AND n_lines > 6 AS outer_ FROM marked),
-lost AS (
-  SELECT doc_id, sum(CASE WHEN outer_ THEN size ELSE 0 END) AS ob, sum(CASE WHEN inn THEN size ELSE 0 END) AS ib FROM outs GROUP BY doc_id),
-spared AS (
-  SELECT doc_id FROM lost JOIN (SELECT doc_id, sum(size) AS bytes FROM lines GROUP BY doc_id) s USING (doc_id)
-  WHERE ob > 0 AND ob > 0.5 * (bytes - ib))
+  FROM lines JOIN groups USING (line))
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, first.d AS first_doc_id, CAST(first.l AS INTEGER) AS first_line_no, CAST(n_lines AS BIGINT) AS n_lines,
-       (inn OR (outer_ AND doc_id NOT IN (SELECT doc_id FROM spared))) AS removed
-FROM outs
+       inn OR (NOT is_first AND (n_lines > 6 OR len(regexp_extract_all(line, '[^ \\t\\r\\v\\f]+')) >= 50)) AS removed
+FROM marked
 """
 
 # The transcripts mark every speaker, so the roles to recover are those of the table.

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, ctph, langid, linededup, mixing, quality, simhash, tokenstore, warc
+from sievewright.llm import bloom, bpe, cells, chat, ctph, langid, linededup, mixing, quality, simhash, tokenstore, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, h long"
 WORDS = ["river", "stone", "quiet", "morning", "lamp", "garden", "seven", "walk", "paper", "light", "über", "señor", "winter", "table", "cloud"]
@@ -327,12 +327,78 @@ def test_near_lines_against_all_pairs(spark):
             lines.append("".join(v))
     lines = sorted(set(lines))
     docs = spark.createDataFrame([(i, "\n".join(lines[i::7])) for i in range(7)], "doc_id long, text string")
-    table = {(r["doc_id"], r["line_no"]): r["h"] for r in linededup.line_table(docs).collect()}
+    table = {(r["doc_id"], r["line_no"]): (r["d1"], r["d2"]) for r in linededup.line_table(docs).collect()}
     hashes = {lines[i::7][n]: h for (i, n), h in table.items()}
     long = [x for x in lines if len(x.encode()) >= 20]
     want = {tuple(sorted((hashes[a], hashes[b]))) for i, a in enumerate(long) for b in long[:i] if edits(a.encode(), b.encode()) <= 2}
-    got = {(r["a"], r["b"]) for r in linededup.near_lines(docs).collect()}
-    assert got == want and len(want) > 30
+    rows = linededup.near_lines(docs).collect()
+    got = {tuple(sorted(((r["a1"], r["a2"]), (r["b1"], r["b2"])))) for r in rows}
+    assert got == want and len(rows) == len(want) > 30
+
+
+def test_cells_are_whole_however_large(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), i) for i, c in enumerate(np.concatenate([np.zeros(90), np.ones(7), rng.integers(2, 30, 120)]))]
+    table = spark.createDataFrame(rows, "c long, i long").repartition(5)
+
+    def compare(cols, half):
+        key, i = cols
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in cells.strips(np.searchsorted(key, key, "right") - np.arange(len(key)) - 1, 50):
+            ok = (half[a] == 0) | (half[a] != half[b])
+            found.append(np.stack([i[a[ok]], i[b[ok]]], 1))
+        return list(np.concatenate(found).T)
+
+    want = sorted((a, b) for c, a in rows for d, b in rows if c == d and a < b)
+    for n in (4, 25, 1000):
+        got = cells.meet_in_cells(table, compare, ("a", "b"), n).collect()
+        assert sorted((min(r), max(r)) for r in got) == want
+    assert cells.meet_in_cells(table.limit(0), compare, ("a", "b")).count() == 0
+
+
+def lines_by_search(texts, copies=None):
+    """{(document, line number): (first, copies, removed)} by comparing all lines."""
+    copies = copies or {}
+    lines = [(i, n, x) for i, t in texts.items() for n, x in enumerate((t or "").split("\n")) if x]
+    out = {}
+    for i, n, x in lines:
+        b = x.encode()
+        mine = [(j in copies, j, m) for j, m, y in lines if x == y or (min(len(b), len(y.encode())) >= 20 and abs(len(b) - len(y.encode())) <= 2 and edits(b, y.encode()) <= 2)]
+        if len(mine) > 1:
+            out[i, n] = min(mine), len(mine)
+    final = {}
+    for (i, n), (first, count) in out.items():
+        inner = any(k[0] == i and k[1] < n and v[0] == first for k, v in out.items())
+        long = len(re.findall(r"[^ \t\r\v\f]+", texts[i].split("\n")[n])) >= 50
+        kin = i in copies and copies.get(first[1], first[1]) == copies[i]
+        final[i, n] = first[1:], count, inner or ((i, n) != first[1:] and (count > 6 or long) and not kin)
+    return final
+
+
+def test_repeated_lines_against_all_pairs(spark):
+    rng = random.Random(4)
+    footer, passage = "All rights are reserved by the publisher", prose(rng, 50)
+    texts = {i: "\n".join([prose(rng, 9), footer if i % 2 else footer + "!", "Heading", prose(rng, 4)]) for i in range(10)}
+    texts |= {10: f"{passage}\nown line", 11: f"other\n{passage}\nother\n\nother", 12: f"{texts[3]}\n{passage}", 13: f"{texts[3]}\n{passage}\nmore", 14: None, 15: ""}
+    copies = {12: 3, 13: 3}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group = spark.createDataFrame(list(copies.items()), "doc_id long, group_id long")
+    for known, table in (({}, None), (copies, group)):
+        rows = linededup.repeated_lines(docs, copies=table).collect()
+        got = {(r["doc_id"], r["line_no"]): ((r["first_doc_id"], r["first_line_no"]), r["n_lines"], r["removed"]) for r in rows}
+        want = lines_by_search(texts, known)
+        assert got == want and len(rows) == len(want) > 20
+        left = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_lines(docs, copies=table).collect()}
+        for i, t in texts.items():
+            assert left[i] == (t if not t else "\n".join(x for n, x in enumerate(t.split("\n")) if not want.get((i, n), (0, 0, False))[2]))
+
+
+def test_bloom_never_loses(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63, 4000)
+    for most in (1 << 28, 1 << 10):
+        words = bloom.build(spark.createDataFrame([(int(k),) for k in keys[:2000]], "h long"), 2000, most)
+        assert bloom.may_hold(words, keys[:2000]).all()
+    assert bloom.may_hold(bloom.build(spark.createDataFrame([(int(k),) for k in keys[:2000]], "h long"), 2000), keys[2000:]).mean() < 0.02
 
 
 def test_drop_repeated_lines(spark, odd, none):
