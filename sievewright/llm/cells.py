@@ -139,20 +139,3 @@ def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
-def whole_cells(batches: Iterable[pa.RecordBatch], out: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """out() of stretches of whole runs of the first column, which must be sorted; what is held is a batch and the run at its end."""
-    kept: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        if not len(cols[0]):
-            continue
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols)]
-        at = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on in the next batch
-        kept = [x[at:] for x in cols]
-        if at:
-            yield out([x[:at] for x in cols])
-    if kept is not None:
-        yield out(kept)
