@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -222,9 +222,11 @@ def encode_column(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.nd
         yield i, j, ids, at, part, off
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, also: Sequence[str] = ()) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip): every row's whole text as ids of the vocabulary, one narrow pass.
 
+    The columns ``also`` of docs come along under their names, which must not be those four.
+
     ``round_trip`` tells whether decoding gives back the text's bytes, which it does for any valid UTF-8. A null text has null
     ids, count and round trip; an empty one has no ids. Null and repeated doc_ids pass through, other columns are ignored, and
     an empty table gives no rows. ``vocabulary`` is a file of ``base64 rank`` lines that executors can read.
@@ -243,11 +245,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     same = np.array([bytes(back[a:b]) == bytes(part[c:d]) for a, b, c, d in zip(ends, ends[1:], off, off[1:])])
                 null = pa.array(~valid[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null) if (~valid[i:j]).any() else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(np.diff(at).astype(np.int32), mask=~valid[i:j]), pa.array(same, mask=~valid[i:j])], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+                more = [batch.column(2 + k).slice(i, j - i) for k in range(len(also))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(np.diff(at).astype(np.int32), mask=~valid[i:j]), pa.array(same, mask=~valid[i:j]), *more], ["doc_id", "token_ids", "n_tokens", "round_trip", *also])
 
-    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
     kind = thin.schema["doc_id"].dataType.simpleString()
-    return thin.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int, round_trip boolean")
+    rest = "".join(f", `{c}` {thin.schema[c].dataType.simpleString()}" for c in also)
+    return thin.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens int, round_trip boolean{rest}")
 
 
 def decode_documents(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:

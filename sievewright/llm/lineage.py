@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and stored in the shared folder, so that a lost executor costs a read, not the whole lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system and all below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

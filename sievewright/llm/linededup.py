@@ -320,7 +320,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever these are.
     """
     gone = repeated_lines(docs, id_col, text_col, **how).where("removed").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("line_no", "d1", "d2")).alias("gone"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     names, resize = docs.columns, bool(length_col) and length_col in docs.columns
     text_at, length_at = names.index(text_col), names.index(length_col) if resize else None
 

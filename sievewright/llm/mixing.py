@@ -6,7 +6,8 @@ import heapq
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -110,45 +111,36 @@ def _schedule(facts: DataFrame) -> DataFrame:
 _NONE = "\x00none"
 
 
-def _named(source: str) -> Column:
-    return F.coalesce(F.col(source).cast("string"), F.lit(_NONE))
-
-
-def smoothed_weights(docs: DataFrame, source_col: str = "source", exponent: float = 0.7) -> dict[str, float]:
-    """Target weights: each source's share of the rows to the power of ``exponent``, over all rows; null is a source too."""
-    return {r["s"]: r["n"] ** exponent for r in docs.groupBy(_named(source_col).alias("s")).agg(F.count("*").alias("n")).collect()}
-
-
 def mix_sources(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
     source_col: str = "source",
-    id_col: str = "doc_id",
     block_rows: int = 16,
     period: int | None = None,
     exponent: float = 0.7,
-    bucket_rows: int = 50_000,
+    bucket_rows: int = 4096,
 ) -> DataFrame:
     """docs in mixed order: all its columns and mix_source, mix_epoch, mix_block, mix_slot, mix_position.
 
-    The rows of a source, in an order of their hashed ids, are dealt into blocks of ``block_rows``. Blocks take slots by
+    The rows of a source, in an order of their hashes, are dealt into blocks of ``block_rows``. Blocks take slots by
     ``pfair_run``, so that after any number of slots a source holds within one block of its target weight's share.
     The mixture goes on until every source has been through once, which decides its length; a source that runs out starts
     over as another epoch. So no row is lost, and weights are kept to the end by repetition. ``mix_position`` orders the rows.
 
     ``weights`` by source, None for null; sources without a positive weight take no part, and weights for absent sources none
-    either. Without weights, ``smoothed_weights``. Weights are met to 2**-62, however many sources there are; with a ``period``
-    to 1/period, at most so many sources, and the schedule repeats. An epoch's last block may be short; rows in it
-    count as a block. Ids may be null or repeat: ties are ordered by the whole row's hash, and equal rows change places freely.
-    Text isn't looked at. An empty table gives no rows. Columns of docs with the names above are replaced.
+    either. Without weights, a source's is its share of the rows to the power of ``exponent``. Weights are met to 2**-62, however
+    many sources there are; with a ``period`` to 1/period, at most so many sources, and the schedule repeats. An epoch's last
+    block may be short; rows in it count as a block. Ids aren't looked at: nulls and repeats spread like other rows, and equal
+    rows change places freely. An empty table gives no rows. Columns of docs with the five names above are replaced; any other
+    names may occur, as rows travel as one struct.
 
     Ranks come from counts of hash buckets of about ``bucket_rows`` rows, so a large source is spread over many tasks. The
     schedule is a table with a row for each block, made in one task, and goes to the buckets; nothing is broadcast by plan.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_source", "mix_epoch", "mix_block", "mix_slot", "mix_position")
-    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    named = docs.withColumn("mix_source", _named(source_col)).withColumn("mix_h", F.xxhash64(F.col(id_col), F.lit(17)))
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(_NONE)).alias("mix_source"), F.xxhash64(F.lit(17), *plain).alias("h"))
     counts = cut(named.groupBy("mix_source").agg(F.count("*").alias("mix_rows")))
     if weights is None:
         facts = counts.withColumn("mix_weight", F.pow("mix_rows", F.lit(float(exponent))))
@@ -165,28 +157,42 @@ def mix_sources(
 
     buckets = max(1, -(-(counts.agg(F.max("mix_rows")).first()[0] or 1) // bucket_rows))
     # 2**63 hashes in equal ranges, so that the order of buckets is that of hashes
-    high = F.shiftrightunsigned("mix_h", 1)
-    keyed = named.withColumn("mix_bucket", F.least(F.lit(buckets - 1), F.floor(high / F.lit(2.0**63) * buckets)).cast("int"))
-    sizes = keyed.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("mix_n"))
-    before = sizes.select("mix_source", "mix_bucket", "mix_n", (F.sum("mix_n").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("mix_n")).alias("mix_before"))
+    high = F.shiftrightunsigned("h", 1)
+    keyed = named.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(high / F.lit(2.0**63) * buckets)).cast("int"))
+    sizes = keyed.groupBy("mix_source", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("mix_source", "bucket", "n", (F.sum("n").over(Window.partitionBy("mix_source").orderBy("bucket")) - F.col("n")).alias("before"))
     before = cut(before.join(facts.select("mix_source"), "mix_source"))  # a row for each bucket: the input's rows / bucket_rows, and at least the sources
     # the turns of each block that has rows in a bucket, by the block's number in an epoch
-    turns = _schedule(facts).groupBy("mix_source", "mix_own").agg(F.collect_list(F.struct("mix_epoch", "mix_block", "mix_slot")).alias("mix_turns"))
-    first, final = (F.floor(x / block_rows).cast("long") for x in (F.col("mix_before"), F.col("mix_before") + F.col("mix_n") - 1))
-    held = before.select("mix_source", "mix_bucket", "mix_before", F.explode(F.sequence(first, final)).alias("mix_own")).join(turns, ["mix_source", "mix_own"])
-    held = cut(held.groupBy("mix_source", "mix_bucket", "mix_before").agg(F.sort_array(F.collect_list(F.struct("mix_own", "mix_turns"))).alias("mix_held")))
-
-    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_h", F.xxhash64(*plain))
-    ranked = keyed.withColumn("mix_r", F.row_number().over(within)).join(held, ["mix_source", "mix_bucket"])
-    rank = F.col("mix_before") + F.col("mix_r") - 1
-    mine = (F.floor(rank / block_rows) - F.floor(F.col("mix_before") / block_rows)).cast("int")
+    turns = _schedule(facts).groupBy("mix_source", "mix_own").agg(F.collect_list(F.struct("mix_epoch", "mix_block", "mix_slot")).alias("turns"))
+    first, final = (F.floor(x / block_rows).cast("long") for x in (F.col("before"), F.col("before") + F.col("n") - 1))
+    held = before.select("mix_source", "bucket", "before", F.explode(F.sequence(first, final)).alias("mix_own")).join(turns, ["mix_source", "mix_own"])
+    held = cut(held.groupBy("mix_source", "bucket", "before").agg(F.sort_array(F.collect_list(F.struct("mix_own", "turns"))).alias("held")))
+
+    within = Window.partitionBy("mix_source", "bucket").orderBy("h")
+    ranked = keyed.withColumn("r", F.row_number().over(within)).join(held, ["mix_source", "bucket"])
+    rank = F.col("before") + F.col("r") - 1
+    mine = (F.floor(rank / block_rows) - F.floor(F.col("before") / block_rows)).cast("int")
     # a row comes again at every turn of its block
-    spread = ranked.select(*docs.columns, "mix_source", rank.alias("mix_r"), F.explode(F.get("mix_held", mine)["mix_turns"]).alias("mix_turn"))
-    slot = F.col("mix_turn.mix_slot")
-    return spread.select(*docs.columns, F.when(F.col("mix_source") != _NONE, F.col("mix_source")).alias("mix_source"), F.col("mix_turn.mix_epoch").alias("mix_epoch"), F.col("mix_turn.mix_block").alias("mix_block"), slot.alias("mix_slot"), (slot * block_rows + F.col("mix_r") % block_rows).cast("long").alias("mix_position"))
+    spread = ranked.select("row", "mix_source", rank.alias("r"), F.explode(F.get("held", mine)["turns"]).alias("turn"))
+    slot = F.col("turn.mix_slot")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return spread.select(*own, F.when(F.col("mix_source") != _NONE, F.col("mix_source")).alias("mix_source"), F.col("turn.mix_epoch").alias("mix_epoch"), F.col("turn.mix_block").alias("mix_block"), slot.alias("mix_slot"), (slot * block_rows + F.col("r") % block_rows).cast("long").alias("mix_position"))
 
 
-def in_mixed_order(docs: DataFrame, spark: SparkSession | None = None, **how: object) -> DataFrame:
-    """The rows of docs repeated and sorted as ``mix_sources`` says, with docs's own columns."""
-    mixed = mix_sources(docs, **how)
-    return mixed.orderBy("mix_position").select(*docs.columns)
+def in_mixed_order(docs: DataFrame, **how: object) -> DataFrame:
+    """The rows of docs repeated and sorted as ``mix_sources`` says, with docs's own columns. ``written_order`` tells the order of what is written."""
+    return mix_sources(docs, **how).orderBy("mix_position").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def written_order(docs: DataFrame, name: str = "mix_position") -> DataFrame:
+    """docs, read from files, with a long that orders its rows as they were written: by the part's number, then by the row in it.
+
+    A sorted table keeps its order this way through files that are read in any order and by any number of tasks. Where docs isn't
+    read from files there is no such order, and the column is null.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return docs.withColumn(name, F.shiftleft(part, 40) + F.col("_metadata.row_index"))

@@ -162,6 +162,52 @@ def test_mixing(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.distinct().count() == odd.distinct().count()
 
 
+def mixed_by_loop(rows, block_rows, buckets, exponent=0.7):
+    """(row, epoch, block, slot, position) of rows (source, hash, row), each slot given by looking at every source."""
+    by = {}
+    for source, h, row in rows:
+        high = (h % 2**64) >> 1
+        by.setdefault(source, []).append((min(buckets - 1, int(np.floor(high / 2.0**63 * buckets))), h, row))
+    names = sorted(by, key=lambda s: "\x00none" if s is None else s)
+    weights = {s: len(by[s]) ** exponent for s in names}
+    share = {s: round(weights[s] / sum(weights.values()) * 2.0**62) for s in names}
+    total, given, size = sum(share.values()), dict.fromkeys(names, 0), {s: -(-len(by[s]) // block_rows) for s in names}
+    out, slot = [], 0
+    while any(given[s] < size[s] for s in names):
+        free = [(-(-(given[s] + 1) * total // share[s]), n, s) for n, s in enumerate(names) if given[s] * total // share[s] <= slot]
+        s = min(free)[2]
+        epoch, block = divmod(given[s], size[s])
+        for r, x in enumerate(sorted(by[s])[block * block_rows : (block + 1) * block_rows]):
+            out.append((x[2], epoch, given[s], slot, slot * block_rows + r))
+        given[s], slot = given[s] + 1, slot + 1
+    return out
+
+
+def test_mixing_against_a_plain_loop(spark):
+    docs = spark.createDataFrame([(i if i % 7 else None, None if i % 11 == 0 else "abc"[min(2, i % 9)], f"t{i}") for i in range(700)], "doc_id long, source string, mix_turns string")
+    docs = docs.withColumn("row", F.lit(1)).withColumn("h", F.lit("clash")).withColumn("mix_slot", F.lit("old"))
+    hashed = docs.drop("mix_slot").select("source", F.xxhash64(F.lit(17), *docs.drop("mix_slot").columns).alias("x"), "mix_turns").collect()
+    most = max(sum(r["source"] == s for r in hashed) for s in ("a", "b", "c", None))
+    for bucket_rows in (4096, 60):
+        mixed = mixing.mix_sources(docs, block_rows=4, bucket_rows=bucket_rows)
+        assert mixed.columns == ["doc_id", "source", "mix_turns", "row", "h", "mix_source", "mix_epoch", "mix_block", "mix_slot", "mix_position"]
+        got = sorted((r["mix_position"], r["mix_turns"], r["mix_epoch"], r["mix_block"], r["mix_slot"]) for r in mixed.collect())
+        want = sorted((p, row, e, b, s) for row, e, b, s, p in mixed_by_loop(hashed, 4, -(-most // bucket_rows)))
+        assert got == want and len(got) > 700
+
+
+def test_mixed_order_survives_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 3 * (i % 5)}", "word " * (1 + i % 50)) for i in range(3000)], "doc_id long, source string, text string").repartition(8)
+    want = [r["doc_id"] for r in mixing.mix_sources(docs).orderBy("mix_position").collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    mixing.in_mixed_order(docs).write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    got = bpe.encode_documents(mixing.written_order(back), also=("mix_position",)).orderBy("mix_position")
+    assert back.select("_metadata.file_name").distinct().count() > 2 and [r["doc_id"] for r in got.collect()] == want
+    assert mixing.written_order(docs).where("mix_position IS NOT NULL").count() == 0
+
+
 def test_mixing_has_no_most_sources(spark):
     docs = spark.createDataFrame([(i, f"s{i // 2}") for i in range(10_000)] + [(10_000, None)], "doc_id long, source string")
     rows = mixing.mix_sources(docs, block_rows=1).collect()
