@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Mapping
 from datetime import date, datetime
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ EPSILON = 2.0**-52
 
 def differs(old: Column, new: Column, kind: T.DataType, mode: str = "strict") -> Column:
     """True or false, never null. ``strict`` is IS DISTINCT FROM; ``normalized`` trims text, takes blank for null and lets
-    floats differ by an ulp relative to the larger of them and 1."""
+    floats differ by an ulp relative to the larger of them and 1, also inside arrays, in order, and structs."""
+    if mode not in ("strict", "normalized"):
+        raise ValueError(f"no such comparison: {mode}")
     if mode == "normalized":
         if isinstance(kind, T.StringType):
             old, new = F.nullif(F.trim(old), F.lit("")), F.nullif(F.trim(new), F.lit(""))
@@ -24,13 +28,21 @@ def differs(old: Column, new: Column, kind: T.DataType, mode: str = "strict") ->
             a, b = old.cast("double"), new.cast("double")
             close = F.abs(a - b) <= F.lit(EPSILON) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
             return ~(old.eqNullSafe(new) | F.coalesce(close, F.lit(False)))
-    elif mode != "strict":
-        raise ValueError(f"no such comparison: {mode}")
+        elif isinstance(kind, T.ArrayType):
+            unequal = F.exists(F.zip_with(old, new, lambda x, y: differs(x, y, kind.elementType, mode)), lambda x: x)
+            return _both(old, new, (F.size(old) != F.size(new)) | unequal)
+        elif isinstance(kind, T.StructType):
+            parts = [differs(old[f.name], new[f.name], f.dataType, mode) for f in kind.fields]
+            return _both(old, new, reduce(operator.or_, parts, F.lit(False)))
     if isinstance(kind, T.MapType):
         old, new = F.array_sort(F.map_entries(old)), F.array_sort(F.map_entries(new))
     return ~old.eqNullSafe(new)
 
 
+def _both(old: Column, new: Column, unequal: Column) -> Column:
+    return F.when(old.isNull() | new.isNull(), ~(old.isNull() & new.isNull())).otherwise(F.coalesce(unequal, F.lit(False)))
+
+
 def normalize_value(value: object) -> object:
     """The same normalisation for Python values."""
     if isinstance(value, str):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import operator
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,30 +73,45 @@ def json_path(segments: Iterable[str]) -> str:
 
 
 def json_match(c: Column, segments: list[str], ops: Mapping[str, object], insensitive: bool) -> Column | None:
-    """A condition on a value inside JSON text, by JSON's own types: "10" isn't 10. None for operators that JSON has not."""
+    """A condition on a value inside JSON text, by JSON's own types: "10" isn't 10. None for operators that JSON has not.
+
+    The text is parsed once for a condition, however often the condition looks at it.
+    """
     path = json_path(segments)
     (op, value), *_ = ops.items()
-    v = F.try_variant_get(F.try_parse_json(c), path, "variant")
-    kind = F.schema_of_variant(v)
-    text = F.when(kind == "STRING", F.try_variant_get(F.try_parse_json(c), path, "string"))
-    number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(F.try_parse_json(c), path, "double"))
-    if op == "equals":
-        if value is None:
-            return F.coalesce(F.is_variant_null(v), F.lit(False))
-        if isinstance(value, bool):
-            return F.when(kind == "BOOLEAN", F.try_variant_get(F.try_parse_json(c), path, "boolean")) == F.lit(value)
-        if isinstance(value, (int, float)):
-            return number == F.lit(float(value))
-        if isinstance(value, str):
-            return text == F.lit(value)
+    if op not in ("equals", "like", "startsWith", "endsWith", "hasEvery", "gte", "lte") or op == "equals" and not isinstance(value, (type(None), bool, int, float, str)):
         return None
-    if op in ("like", "startsWith", "endsWith"):
-        return text_match(text, op, value, insensitive)
-    if op == "hasEvery":
-        raw = F.from_json(F.get_json_object(c, path), "array<string>")
-        return F.when(raw.isNotNull(), F.size(F.array_except(F.array(*[F.lit(str(x)) for x in value]), raw)) == 0)
-    if op in ("gte", "lte"):
+
+    def test(doc: Column) -> Column:
+        found = F.try_variant_get(doc, path, "variant")
+        if op == "hasEvery":
+            items = F.try_variant_get(doc, path, "array<variant>")
+            return reduce(operator.and_, [F.exists(items, lambda x, v=v: F.coalesce(_json_equals(x, v), F.lit(False))) for v in value])
+        if op == "equals":
+            return _json_equals(found, value)
+        if op in ("like", "startsWith", "endsWith"):
+            return text_match(_json_text(found), op, value, insensitive)
         if all(isinstance(x, (int, float)) for x in ops.values()):
-            return within(number, ops, None)
-        return within(text, {k: str(x) for k, x in ops.items()}, None)
-    return None
+            return within(_json_number(found), ops, None)
+        return within(_json_text(found), {k: str(x) for k, x in ops.items()}, None)
+
+    return F.exists(F.array(F.try_parse_json(c)), test)
+
+
+def _json_text(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _json_number(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+
+
+def _json_equals(v: Column, value: object) -> Column:
+    if value is None:
+        return F.coalesce(F.is_variant_null(v), F.lit(False))
+    if isinstance(value, bool):
+        return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")) == F.lit(value)
+    if isinstance(value, (int, float)):
+        return _json_number(v) == F.lit(float(value))
+    return _json_text(v) == F.lit(str(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import date, datetime
 
 
@@ -72,13 +72,13 @@ def has_relation_operations(value: object) -> bool:
     return isinstance(value, Mapping) and bool(RELATION_OPERATIONS & value.keys())
 
 
-def foreign_keys(item: Mapping[str, object], suffix: str = "Id") -> dict[str, object]:
-    """Relation objects as key columns: {"author": {"id": 3}} and {"author": {"connect": {"id": 3}}} give authorId 3; an explicit key wins."""
+def foreign_keys(item: Mapping[str, object], name: Callable[[str], str] = lambda relation: f"{relation}Id") -> dict[str, object]:
+    """Relation objects as key columns: {"author": {"id": 3}} and {"author": {"connect": {"id": 3}}} give authorId 3, or as ``name`` says; an explicit key wins."""
     out: dict[str, object] = {}
     for k, v in item.items():
         ref = v.get("connect", v) if isinstance(v, Mapping) else None
         if isinstance(ref, Mapping) and set(ref) == {"id"}:
-            out.setdefault(f"{k}{suffix}", ref["id"])
+            out.setdefault(name(k), ref["id"])
         else:
             out[k] = v
     return {**out, **{k: item[k] for k in item if k in out and not isinstance(item[k], Mapping)}}

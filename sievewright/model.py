@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import threading
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime.control import EngineConfig, TokenBucket
+from .runtime.metrics import Metrics
+
 
 class UnknownModel(KeyError):
     pass
@@ -123,12 +128,30 @@ class ModelDef:
         return cls(name, tuple(fields), primary_key=key, **rest)
 
 
+class TransactionConflict(RuntimeError):
+    """Another transaction has published a table that this one wrote too."""
+
+
+#: The open transaction's own snapshots, by registry; other threads don't see them.
+_OPEN: ContextVar[Mapping[int, dict[str, DataFrame]]] = ContextVar("open_transactions", default={})
+
+
 @dataclass
 class Registry:
     """Models by name, each bound to its current snapshot. Snapshots are immutable; mutations bind new ones."""
 
     models: dict[str, ModelDef] = field(default_factory=dict)
     snapshots: dict[str, DataFrame] = field(default_factory=dict)
+    config: EngineConfig = field(default_factory=EngineConfig)
+    metrics: Metrics = field(default_factory=Metrics)
+
+    def __post_init__(self) -> None:
+        self._publishing = threading.Lock()
+        self._bucket = TokenBucket(self.config.max_queries_per_second)
+
+    def throttle(self) -> None:
+        """Waits until another action may start."""
+        self._bucket.acquire()
 
     def add(self, model: ModelDef, df: DataFrame | None = None) -> Registry:
         self.models[model.name] = model
@@ -137,10 +160,41 @@ class Registry:
         return self
 
     def bind(self, name: str, df: DataFrame) -> None:
-        """Takes physical or logical column names; snapshots carry logical ones."""
+        """Takes physical or logical column names; snapshots carry logical ones. Inside a transaction only that sees it yet."""
         model = self.model(name)
         renames = {f.physical: f.name for f in model.fields if f.physical != f.name and f.physical in df.columns}
-        self.snapshots[name] = df.withColumnsRenamed(renames) if renames else df
+        df = df.withColumnsRenamed(renames) if renames else df
+        own = _OPEN.get().get(id(self))
+        if own is not None:
+            own[name] = df
+        else:
+            self.snapshots = {**self.snapshots, name: df}
+
+    @property
+    def in_transaction(self) -> bool:
+        return id(self) in _OPEN.get()
+
+    @contextmanager
+    def transaction(self) -> Iterator[Registry]:
+        """Snapshots bound inside are seen inside, and by all others at once when the block ends; an exception drops them.
+
+        Transactions don't nest. Of two that wrote the same table the one that ends later raises ``TransactionConflict``, and
+        nothing of it is published.
+        """
+        if self.in_transaction:
+            raise RuntimeError("transactions don't nest")
+        own: dict[str, DataFrame] = {}
+        base = self.snapshots
+        token = _OPEN.set({**_OPEN.get(), id(self): own})
+        try:
+            yield self
+        finally:
+            _OPEN.reset(token)
+        with self._publishing:
+            changed = [n for n in own if self.snapshots.get(n) is not base.get(n)]
+            if changed:
+                raise TransactionConflict(f"published by others since this transaction began: {changed}")
+            self.snapshots = {**self.snapshots, **own}
 
     def model(self, name: str) -> ModelDef:
         if name not in self.models:
@@ -149,9 +203,14 @@ class Registry:
 
     def df(self, name: str) -> DataFrame:
         self.model(name)
-        if name not in self.snapshots:
+        own = _OPEN.get().get(id(self), {})
+        if name not in own and name not in self.snapshots:
             raise UnknownModel(f"{name} has no data")
-        return self.snapshots[name]
+        return own[name] if name in own else self.snapshots[name]
+
+    def bound(self) -> list[str]:
+        """Models that have data."""
+        return [n for n in self.models if n in self.snapshots or n in _OPEN.get().get(id(self), {})]
 
     def physical(self, name: str) -> DataFrame:
         """The snapshot under the names that storage uses."""
@@ -178,11 +237,3 @@ def require(model: ModelDef, names: Iterable[str]) -> None:
     for n in names:
         if model.field_named(n) is None:
             raise UnknownField(f"{model.name}.{n}")
-
-
-def key_condition(left: str, right: str, lefts: Iterable[str], rights: Iterable[str]):
-    out = None
-    for a, b in zip(lefts, rights):
-        c = F.col(f"{left}.{a}") == F.col(f"{right}.{b}")
-        out = c if out is None else out & c
-    return out

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.compare import differs
 from ..functions.rows import first_by_keys, foreign_keys, sanitize_keys, update_payload
-from ..model import LinkDef, Registry, UnknownField
+from ..model import LinkDef, ModelDef, Registry, RelationDef, UnknownField
 from ..plans.graph import link_pairs
+from ..runtime.control import in_parallel, with_retry
+from ..runtime.lineage import cut
 from .query import ROOT, EntityQuery
 
 _NEW = "__new_"
 _BOOK = ("_present", "_ord")
-CREATED, UPDATED, UNCHANGED = "created", "updated", "unchanged"
+CREATED, UPDATED, UNCHANGED, DELETED = "created", "updated", "unchanged", "deleted"
 
 
 def _all(parts: Iterable[Column]) -> Column:
@@ -30,13 +32,31 @@ def _any(parts: Iterable[Column]) -> Column:
     return reduce(operator.or_, parts, F.lit(False))
 
 
+_STATUS, _ORDER = "__status", "__order"
+
+
 @dataclass(frozen=True)
 class Change:
-    """The new snapshot, and a row (identity, status) for each incoming row that was looked at; both lazy."""
+    """What a mutation makes of its model, as one plan: the model's columns, __status of the rows it looked at (null for others)
+    and, for rows that came in, __order. ``snapshot`` and ``rows`` are views of that plan, all lazy."""
 
-    snapshot: DataFrame
-    rows: DataFrame
+    marked: DataFrame
+    names: tuple[str, ...]
+    id_fields: tuple[str, ...]
     removed: DataFrame | None = None  # (n): incoming rows that a later one with the same key replaced
+    incoming_links: Mapping[str, DataFrame] = field(default_factory=dict)  # by link: (__order, target)
+    after: tuple[Callable, ...] = ()
+    name: str = "change"
+
+    @property
+    def snapshot(self) -> DataFrame:
+        """The model's rows from now on."""
+        return self.marked.where(F.col(_STATUS).isNull() | (F.col(_STATUS) != DELETED)).select(*self.names)
+
+    @property
+    def rows(self) -> DataFrame:
+        """(identity, status) of each row that was looked at."""
+        return self.marked.where(F.col(_STATUS).isNotNull()).select(*self.id_fields, F.col(_STATUS).alias("status"))
 
     def counts(self) -> dict[str, int]:
         """created + updated + unchanged = total; rows replaced by a later one count as unchanged."""
@@ -49,40 +69,100 @@ class Change:
     def ids(self, status: str) -> DataFrame:
         return self.rows.where(F.col("status") == status).drop("status")
 
+    def links(self, name: str) -> DataFrame:
+        """(source, target) of the link that created and updated rows brought along."""
+        made = self.marked.where(F.col(_STATUS).isin(CREATED, UPDATED)).select(F.col(self.id_fields[0]).alias("source"), _ORDER)
+        return made.join(self.incoming_links[name], _ORDER).select("source", "target")
+
+    def stored(self) -> Change:
+        """The same, computed once and kept in the shared folder: no more of its plan is carried on, and times stand still."""
+        return replace(self, marked=cut(self.marked))
+
 
 class Mutations:
-    """Mutations of one model. ``apply`` binds a change's snapshot; until then nothing has happened.
+    """Mutations of one model. ``apply`` stores a change and binds its snapshot; until then nothing has happened.
 
     ``compare`` is strict or normalized (see ``differs``). A key with a null never matches. Columns that a row doesn't provide
     (its ``_present``) keep their value, an explicit null is written. Rows of a DataFrame without ``_present`` provide all its columns.
+    Hooks of the registry's configuration run before those given here.
     """
 
-    def __init__(self, registry: Registry, name: str, compare: str = "strict", before: Sequence[Callable] = (), after: Sequence[Callable] = ()):
-        self.registry, self.model, self.compare = registry, registry.model(name), compare
-        self.before, self.after = tuple(before), tuple(after)
+    def __init__(self, registry: Registry, name: str, compare: str | None = None, before: Sequence[Callable] = (), after: Sequence[Callable] = (), foreign_key: Callable[[str], str] | None = None):
+        """``foreign_key`` names the key column of a relation given as an object; else it is the relation's own, or <relation>Id."""
+        self.registry, self.model, self.compare = registry, registry.model(name), compare or registry.config.compare
+        self.before, self.after = (*registry.config.before, *before), (*registry.config.after, *after)
         self.names = [f.name for f in self.model.fields]
+        self.foreign_key = foreign_key or self._foreign_key
+
+    def _foreign_key(self, relation: str) -> str:
+        found = self.model.relation_named(relation)
+        return found.local[0] if found is not None and not found.is_list and len(found.local) == 1 else f"{relation}Id"
 
     @property
     def target(self) -> DataFrame:
         return self.registry.df(self.model.name)
 
     def apply(self, change: Change) -> Change:
-        self.registry.bind(self.model.name, change.snapshot)
+        """Computes and stores the change, binds its snapshot and those of its links, and runs the hooks that come after.
+
+        Nothing is bound if any of it fails; attempts are repeated where an error may pass.
+        """
+        registry, config = self.registry, self.registry.config
+        with registry.metrics.timed(change.name, self.model.name) as found:
+            registry.throttle()
+            change = with_retry(change.stored, config.retries)
+            tables = {}
+            for name in change.incoming_links:
+                link = self._link(name)
+                tables[link.table] = cut(self.apply_links(name, change.links(name)))
+            found["rows"] = change.rows.count()
+        registry.bind(self.model.name, change.snapshot)
+        for name, df in tables.items():
+            registry.bind(name, df)
+        for hook in change.after:
+            hook(self.model.name, change)
         return change
 
-    def incoming(self, items: DataFrame | Iterable[Mapping[str, object]]) -> DataFrame:
-        """Rows under the model's names with _present and _ord; dicts may carry leading underscores and relation objects."""
+    def incoming(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None = None) -> DataFrame:
+        """Rows under the model's names with _present and _ord; dicts may carry leading underscores, relation objects and links.
+
+        ``order`` names the column of a DataFrame by which later rows win. Without one, and without _ord, rows are ordered by their
+        hash: which of several rows with one key wins is then arbitrary, but the same each time the plan runs.
+        """
+        return self._incoming(items, order, False)[0]
+
+    def _incoming(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None, links: bool) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Rows, and by link (__order, target)."""
         if not isinstance(items, DataFrame):
-            clean = [link_pairs(self.model, foreign_keys(sanitize_keys(x)))[0] for x in items]
-            return self.registry.rows(self.model.name, clean)
-        unknown = [c for c in items.columns if c not in self.names and c not in _BOOK]
+            parts = [link_pairs(self.model, sanitize_keys(x)) for x in items]
+            rows = self.registry.rows(self.model.name, [foreign_keys(rest, self.foreign_key) for rest, _ in parts])
+            if not links:
+                return rows, {}
+            return rows, {x.name: self._link_rows(x, [(n, t) for n, (_, own) in enumerate(parts) for t in own.get(x.name, ())]) for x in self.model.links if any(x.name in own for _, own in parts)}
+        linked = [x for x in self.model.links if x.name in items.columns]
+        unknown = [c for c in items.columns if c not in self.names and c not in _BOOK and c not in [x.name for x in linked]]
         if unknown:
             raise UnknownField(f"{self.model.name}: {unknown}")
         given = [c for c in items.columns if c in self.names]
         present = F.col("_present") if "_present" in items.columns else F.array(*[F.lit(c) for c in given])
-        order = F.col("_ord") if "_ord" in items.columns else F.monotonically_increasing_id()
+        hashed = [c for c, t in items.dtypes if "map<" not in t and "variant" not in t]
+        nth = F.col("_ord") if "_ord" in items.columns else F.col(order) if order else F.xxhash64(*hashed)
         fields = [(F.col(f.name) if f.name in given else F.lit(None)).cast(f.type).alias(f.name) for f in self.model.fields]
-        return items.select(*fields, present.alias("_present"), order.alias("_ord"))
+        rows = items.select(*fields, present.alias("_present"), nth.alias("_ord"))
+        pairs = {}
+        for x in linked if links else ():
+            element = items.schema[x.name].dataType.elementType
+            own = F.explode(x.name)
+            target = items.select(nth.alias(_ORDER), own.alias("t"))
+            pairs[x.name] = target.select(_ORDER, (F.col("t.id") if isinstance(element, T.StructType) else F.col("t")).alias("target"))
+        return rows, pairs
+
+    def _link_rows(self, link: LinkDef, pairs: list[tuple[int, object]]) -> DataFrame:
+        kind = self.registry.model(link.table).field_named(link.target_key).type
+        return self.target.sparkSession.createDataFrame(pairs, T.StructType([T.StructField(_ORDER, T.LongType()), T.StructField("target", kind)]))
+
+    def _change(self, marked: DataFrame, **rest: object) -> Change:
+        return Change(marked, tuple(self.names), tuple(self.model.id_fields), **rest)
 
     def _key(self, key: Sequence[str] | None) -> list[str]:
         found = list(key or next(iter(self.model.unique_constraints()), ()))
@@ -110,99 +190,106 @@ class Mutations:
         kind = {f.name: f.type for f in self.model.fields}
         return _any(self._given(n) & differs(F.col(n), F.col(_NEW + n), kind[n], self.compare) for n in self._written(key))
 
-    def _fresh(self, rows: DataFrame) -> DataFrame:
-        """Rows to insert: defaults where a column isn't provided, times of creation, an error where a required value is missing."""
-        cols = []
+    def _fresh_columns(self, prefix: str = "") -> dict[str, Column]:
+        """Values of a row to insert: defaults where a column isn't provided, times of creation, an error where a required value is missing."""
+        cols = {}
         for f in self.model.fields:
-            c = F.col(f.name)
+            c = F.col(prefix + f.name)
             if f.name in (self.model.created_at, self.model.updated_at):
                 c = F.coalesce(c, F.current_timestamp().cast(f.type))
             elif f.has_default:
-                c = F.when(F.array_contains("_present", f.name), c).otherwise(F.lit(f.default).cast(f.type))
+                c = F.when(F.array_contains(f"{prefix}_present", f.name), c).otherwise(F.lit(f.default).cast(f.type))
             if f.required and not f.is_id and f.name not in self.model.primary_key:
                 c = F.when(c.isNull(), F.raise_error(F.lit(f"{self.model.name}.{f.name} is required")).cast(f.type)).otherwise(c)
-            cols.append(c.alias(f.name))
-        return rows.select(*cols)
+            if f.values:
+                known = c.isNull() | c.isin(*f.values)
+                c = F.when(known, c).otherwise(F.raise_error(F.concat(F.lit(f"{self.model.name}.{f.name} has no value "), c.cast("string"))).cast(f.type))
+            cols[f.name] = c
+        return cols
 
-    def _merged(self, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-        """The target with provided values of the rows that match it and differ. A small side is broadcast by its measured size."""
+    def _merge(self, rows: DataFrame, key: Sequence[str], insert: bool) -> DataFrame:
+        """Target and rows joined once, marked: rows that match take the provided values if these differ; others are inserted, or left out.
+
+        The join reads the target once. Without inserts it is a left join, which lets a small side be broadcast by its measured size.
+        """
+        old = self.target.withColumn("__there", F.lit(True))
         new = self._renamed(rows)
-        joined = self.target.join(new, _all(self.target[k] == new[_NEW + k] for k in key), "left")
-        changed = F.col(f"{_NEW}_present").isNotNull() & self._changed(key)
+        joined = old.join(new, _all(old[k] == new[_NEW + k] for k in key), "full" if insert else "left")
+        came, there = F.col(f"{_NEW}_present").isNotNull(), F.col("__there").isNotNull()
+        changed = came & there & self._changed(key)
+        fresh = self._fresh_columns(_NEW)
         cols = []
-        for n in self.names:
-            c = F.col(n)
+        for f in self.model.fields:
+            n, c = f.name, F.col(f.name)
             if n in self._written(key):
                 c = F.when(changed & self._given(n), F.col(_NEW + n)).otherwise(c)
             elif n == self.model.updated_at:
-                c = F.when(changed, F.current_timestamp().cast(self.target.schema[n].dataType)).otherwise(c)
-            cols.append(c.alias(n))
-        return joined.select(*cols)
+                c = F.when(changed, F.current_timestamp().cast(f.type)).otherwise(c)
+            cols.append((F.when(there, c).otherwise(fresh[n]) if insert else c).alias(n))
+        status = F.when(came, F.when(~there, CREATED).when(changed, UPDATED).otherwise(UNCHANGED))
+        return joined.select(*cols, status.alias(_STATUS), F.col(f"{_NEW}_ord").alias(_ORDER))
 
     # -- create, upsert ---------------------------------------------------------------------------
 
-    def create_many(self, items: DataFrame | Iterable[Mapping[str, object]], skip_duplicates: bool = True) -> Change:
-        """Inserts rows whose complete unique keys neither occur in the target nor, earlier, among the rows.
+    def create_many(self, items: DataFrame | Iterable[Mapping[str, object]], skip_duplicates: bool = True, order: str | None = None, links: bool = True) -> Change:
+        """Inserts rows whose complete unique keys neither occur in the target nor, earlier, among the rows; links come along.
 
-        A list is thinned in order, over all keys at once. A DataFrame is, key by key, reduced to the first row of each; for one
-        unique key that is the same. Without ``skip_duplicates`` a key that exists already raises when the snapshot is computed.
+        A list is thinned in order, over all keys at once. A DataFrame is, key by key, reduced to the first row of each by
+        ``order``; for one unique key that is the same. Without ``skip_duplicates`` a key that exists already raises when the
+        snapshot is computed.
         """
         keys = self.model.unique_constraints()
-        rows = self.incoming(items if isinstance(items, DataFrame) else first_by_keys([sanitize_keys(x) for x in items], keys))
+        thin = items if isinstance(items, DataFrame) else first_by_keys([sanitize_keys(x) for x in items], keys)
+        rows, pairs = self._incoming(thin, order, links)
         if isinstance(items, DataFrame):
             for key in keys:
                 full = _all(F.col(k).isNotNull() for k in key)
                 nth = F.row_number().over(Window.partitionBy(*key).orderBy("_ord"))
                 rows = rows.where(full).withColumn("__n", nth).where("__n = 1").drop("__n").unionByName(rows.where(~full))
         for key in keys:
-            old = self.target.select(*(F.col(k).alias(f"__old_{k}") for k in key)).distinct()
+            old = self.target.select(*(F.col(k).alias(f"__old_{k}") for k in key))
             match = _all(rows[k] == old[f"__old_{k}"] for k in key)
             if skip_duplicates:
                 rows = rows.join(old, match, "left_anti")
             else:
                 first = F.col(f"__old_{key[0]}")
-                error = F.raise_error(F.lit(f"{self.model.name}: {'+'.join(key)} exists")).cast("boolean")
-                rows = rows.join(old, match, "left").where(F.when(first.isNotNull(), error).otherwise(True)).drop(*old.columns)
-        made = self._fresh(rows)
-        return Change(self.target.select(*self.names).unionByName(made), made.select(*self.model.id_fields, F.lit(CREATED).alias("status")))
+                error = F.raise_error(F.lit(f"{self.model.name}: unique key exists: {'+'.join(key)}")).cast("boolean")
+                rows = rows.join(old.distinct(), match, "left").where(F.when(first.isNotNull(), error).otherwise(True)).drop(*old.columns)
+        made = rows.select(*(c.alias(n) for n, c in self._fresh_columns().items()), F.lit(CREATED).alias(_STATUS), F.col("_ord").alias(_ORDER))
+        kept = self.target.select(*self.names, F.lit(None).cast("string").alias(_STATUS), F.lit(None).cast(made.schema[_ORDER].dataType).alias(_ORDER))
+        return self._change(kept.unionByName(made), incoming_links=pairs, name="create")
 
-    def classify(self, items: DataFrame | Iterable[Mapping[str, object]], key: Sequence[str] | None = None) -> DataFrame:
+    def classify(self, items: DataFrame | Iterable[Mapping[str, object]], key: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
         """(fields.., status) of the rows that count."""
         key = self._key(key)
-        return self._classified(self.last_wins(self.incoming(items), key), key).select(*(F.col(_NEW + n).alias(n) for n in self.names), "status")
-
-    def _classified(self, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+        rows = self.last_wins(self.incoming(items, order), key)
         new = self._renamed(rows)
         old = self.target.select(*dict.fromkeys([*self.model.id_fields, *key, *self._written(key)]), F.lit(True).alias("__there"))
         joined = new.join(old, _all(new[_NEW + k] == old[k] for k in key), "left")
-        return joined.withColumn("status", F.when(F.col("__there").isNull(), CREATED).when(self._changed(key), UPDATED).otherwise(UNCHANGED))
+        status = F.when(F.col("__there").isNull(), CREATED).when(self._changed(key), UPDATED).otherwise(UNCHANGED)
+        return joined.select(*(F.col(_NEW + n).alias(n) for n in self.names), status.alias("status"))
+
+    def upsert_many(self, items: DataFrame | Iterable[Mapping[str, object]], key: Sequence[str] | None = None, order: str | None = None, links: bool = True) -> Change:
+        """Inserts rows of new keys and writes provided values that differ into the others; the last row of a key wins.
 
-    def upsert_many(self, items: DataFrame | Iterable[Mapping[str, object]], key: Sequence[str] | None = None) -> Change:
-        """Inserts rows of new keys and writes provided values that differ into the others; the last row of a key wins."""
+        Links of created and updated rows come along. Hooks before run now, hooks after when the change is applied.
+        """
         key = self._key(key)
         for hook in self.before:
             hook(self.model.name, items)
-        rows = self.incoming(items)
-        kept = self.last_wins(rows, key)
-        looked = self._classified(kept, key)
-        ids = [F.coalesce(F.col(_NEW + i), F.col(i)).alias(i) if i not in key else F.col(_NEW + i).alias(i) for i in self.model.id_fields]
-        made = self._fresh(kept.join(self.target.select(*key).distinct(), list(key), "left_anti").select(*self.names, *_BOOK))
+        rows, pairs = self._incoming(items, order, links)
         full = _all(F.col(k).isNotNull() for k in key)
         replaced = rows.where(full).agg((F.count("*") - F.count_distinct(F.struct(*key))).alias("n"))
-        change = Change(self._merged(kept.where(full), key).unionByName(made), looked.select(*ids, "status"), replaced)
-        for hook in self.after:
-            hook(self.model.name, change)
-        return change
+        return self._change(self._merge(self.last_wins(rows, key), key, True), removed=replaced, incoming_links=pairs, after=self.after, name="upsert")
 
     # -- update, delete ---------------------------------------------------------------------------
 
-    def update_many_by_id(self, items: DataFrame | Iterable[Mapping[str, object]]) -> Change:
+    def update_many_by_id(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None = None) -> Change:
         """Writes provided values into rows of the same identity; the last of a repeated id wins, unknown ids do nothing."""
         key = self._key(self.model.id_fields)
-        rows = self.incoming(items if isinstance(items, DataFrame) else [update_payload(x, self.model.created_at) for x in items])
+        rows = self.incoming(items if isinstance(items, DataFrame) else [update_payload(x, self.model.created_at) for x in items], order)
         rows = self.last_wins(rows.where(_all(F.col(k).isNotNull() for k in key)), key)
-        looked = self._classified(rows, key).where(F.col("status") != CREATED)
-        return Change(self._merged(rows, key), looked.select(*(F.col(_NEW + k).alias(k) for k in key), "status"))
+        return self._change(self._merge(rows, key, False), name="update")
 
     def _matching(self, base: Mapping[str, object] | None, search: object) -> Column:
         found = EntityQuery(self.registry, self.model.name).predicate(base, search)
@@ -222,13 +309,16 @@ class Mutations:
             elif stamp and f.name == self.model.updated_at:
                 c = F.when(F.col("__hit"), F.current_timestamp().cast(f.type)).otherwise(c)
             cols.append(c.alias(f.name))
-        touched = marked.where("__hit").select(*self.model.id_fields, F.lit(UPDATED).alias("status"))
-        return Change(marked.select(*cols), touched)
+        status = F.when(F.col("__hit"), UPDATED)
+        return self._change(marked.select(*cols, status.alias(_STATUS), F.lit(None).cast("long").alias(_ORDER)), name="update")
+
+    def _deleted(self, marked: DataFrame) -> Change:
+        status = F.when(F.col("__hit"), DELETED)
+        return self._change(marked.select(*self.names, status.alias(_STATUS), F.lit(None).cast("long").alias(_ORDER)), name="delete")
 
     def delete_by_filter(self, base: Mapping[str, object] | None = None, search: object = None) -> Change:
         """Without the rows for which the filter holds; an unknown outcome keeps a row, and no filter at all deletes every row."""
-        marked = self.target.alias(ROOT).withColumn("__hit", self._matching(base, search))
-        return Change(marked.where("NOT __hit").select(*self.names), marked.where("__hit").select(*self.model.id_fields, F.lit("deleted").alias("status")))
+        return self._deleted(self.target.alias(ROOT).withColumn("__hit", self._matching(base, search)))
 
     def delete_by_ids(self, ids: DataFrame | Iterable[object]) -> Change:
         """Without the rows of these ids: a DataFrame of the identity's columns, or values of a single one."""
@@ -236,27 +326,77 @@ class Mutations:
         if not isinstance(ids, DataFrame):
             kind = self.target.select(*names).schema
             ids = self.target.sparkSession.createDataFrame([x if isinstance(x, tuple) else (x,) for x in ids], kind)
-        gone = ids.select(*names).distinct()
-        return Change(self.target.join(gone, names, "left_anti").select(*self.names), self.target.join(gone, names, "left_semi").select(*names, F.lit("deleted").alias("status")))
+        gone = ids.select(*names).distinct().withColumn("__gone", F.lit(True))
+        return self._deleted(self.target.join(gone, names, "left").withColumn("__hit", F.col("__gone").isNotNull()))
 
     def delete_cascading(self, change: Change) -> dict[str, DataFrame]:
-        """Snapshots by model after a deletion and all that depends on it: rows whose to-one target with ``cascade`` is gone."""
-        out = {self.model.name: change.snapshot}
-        gone = {self.model.name: self.target.join(change.rows.drop("status").distinct(), list(self.model.id_fields), "left_semi")}
-        queue = [self.model.name]
-        while queue:
-            parent = queue.pop(0)
-            for name, model in self.registry.models.items():
-                for r in model.relations:
-                    if r.is_list or not r.cascade or r.target != parent or name in out or name not in self.registry.snapshots:
-                        continue
-                    keys = gone[parent].select(*(F.col(k).alias(f"__{k}") for k in r.remote)).distinct()
-                    rows = self.registry.df(name)
-                    match = _all(rows[a] == keys[f"__{b}"] for a, b in zip(r.local, r.remote))
-                    gone[name], out[name] = rows.join(keys, match, "left_semi"), rows.join(keys, match, "left_anti")
-                    queue.append(name)
+        """Snapshots by model after a deletion and all that depends on it: rows of which a to-one target with ``cascade`` is gone.
+
+        A row goes if any of its cascading relations says so, by whatever path, and models may refer to each other or to
+        themselves. Of models that others depend on, the keys of rows that go are gathered, level by level until none is new, and
+        stored; then each table is read once, without the rows that point at any of them.
+        """
+        registry = self.registry
+        down: dict[str, list[tuple[str, RelationDef]]] = {}  # by target: models with a cascading relation to it
+        for name in registry.bound():
+            for r in registry.model(name).relations:
+                if r.cascade and not r.is_list:
+                    down.setdefault(r.target, []).append((name, r))
+
+        def needed(name: str) -> list[str]:
+            return sorted({k for _, r in down.get(name, ()) for k in r.remote})
+
+        def keys(doomed: DataFrame, r: RelationDef) -> DataFrame:
+            return doomed.select(*(F.col(k).alias(f"__{k}") for k in r.remote)).dropna().distinct()
+
+        def match(rows: DataFrame, gone: DataFrame, r: RelationDef) -> Column:
+            return _all(rows[a] == gone[f"__{b}"] for a, b in zip(r.local, r.remote))
+
+        start = self.model.name
+        doomed: dict[str, DataFrame] = {}
+        level = {}
+        if needed(start):
+            level[start] = cut(change.marked.where(F.col(_STATUS) == DELETED).select(*needed(start)).distinct())
+        while level:
+            found: dict[str, DataFrame] = {}
+            for parent, gone in level.items():
+                doomed[parent] = doomed[parent].unionByName(gone) if parent in doomed else gone
+                for name, r in down[parent]:
+                    if needed(name):
+                        rows = registry.df(name)
+                        pointed = keys(gone, r)
+                        hit = rows.join(pointed, match(rows, pointed, r), "left_semi").select(*needed(name))
+                        found[name] = found[name].unionByName(hit) if name in found else hit
+            level = {}
+            for name, hit in found.items():
+                hit = hit.distinct()
+                if name in doomed:
+                    old = doomed[name]
+                    hit = hit.join(old, _all(hit[k].eqNullSafe(old[k]) for k in needed(name)), "left_anti")
+                hit = cut(hit)
+                if name not in doomed or not hit.isEmpty():
+                    level[name] = hit
+        out = {start: change.snapshot}
+        for parent, gone in doomed.items():
+            for name, r in down[parent]:
+                rows = out.get(name, registry.df(name))
+                pointed = keys(gone, r)
+                out[name] = rows.join(pointed, match(rows, pointed, r), "left_anti")
         return out
 
+    def apply_cascading(self, change: Change) -> dict[str, DataFrame]:
+        """Stores the snapshots of ``delete_cascading``, several at once, and binds them together. Inside a transaction one by one."""
+        registry, config = self.registry, self.registry.config
+        with registry.metrics.timed("cascade", self.model.name):
+            found = self.delete_cascading(change)
+            registry.throttle()
+            done, failed = in_parallel(lambda n: (n, with_retry(lambda: cut(found[n]), config.retries)), found, config.concurrency if config.parallel and not registry.in_transaction else 1)
+        if failed:
+            raise failed[0][1]
+        for name, df in done:
+            registry.bind(name, df)
+        return dict(done)
+
     # -- one row ----------------------------------------------------------------------------------
 
     def create(self, values: Mapping[str, object]) -> Change:
@@ -270,10 +410,14 @@ class Mutations:
         return self.update_many_by_id([values])
 
     def upsert(self, values: Mapping[str, object]) -> Change:
-        """By the first unique key that is complete and has a row; else an insert."""
-        for key in self.model.unique_constraints():
-            if all(values.get(k) is not None for k in key) and EntityQuery(self.registry, self.model.name).count({k: values[k] for k in key}):
-                return self.upsert_many([values], key)
+        """By the first unique key that is complete and has a row; else an insert. All keys are looked up in one job."""
+        keys = [k for k in self.model.unique_constraints() if all(values.get(c) is not None for c in k)]
+        if keys:
+            query = EntityQuery(self.registry, self.model.name)
+            found = self.target.alias(ROOT).agg(*(F.max(F.coalesce(query.predicate({c: values[c] for c in k}), F.lit(False))).alias(f"k{i}") for i, k in enumerate(keys))).first()
+            for i, key in enumerate(keys):
+                if found[f"k{i}"]:
+                    return self.upsert_many([values], key)
         return self.create(values)
 
     def delete(self, identity: object) -> Change:
@@ -281,30 +425,25 @@ class Mutations:
 
     # -- links ------------------------------------------------------------------------------------
 
-    def apply_links(self, link: str, pairs: DataFrame) -> DataFrame:
-        """The link table with these (source, target) pairs added once each; pairs with nulls and those there already add nothing."""
-        found: LinkDef | None = self.model.link_named(link)
+    def _link(self, name: str) -> LinkDef:
+        found = self.model.link_named(name)
         if found is None:
-            raise UnknownField(f"{self.model.name}.{link}")
-        return add_links(self.registry.df(found.table), pairs, found.source_key, found.target_key)
-
+            raise UnknownField(f"{self.model.name}.{name}")
+        return found
 
-def add_links(table: DataFrame, pairs: DataFrame, source: str, target: str) -> DataFrame:
-    fresh = pairs.select(F.col(pairs.columns[0]).alias(source), F.col(pairs.columns[1]).alias(target)).dropna().distinct()
-    return table.unionByName(fresh.join(table.select(source, target).distinct(), [source, target], "left_anti"), allowMissingColumns=True)
+    def apply_links(self, link: str, pairs: DataFrame) -> DataFrame:
+        """The link table with these (source, target) pairs added once each; pairs with nulls and those there already add nothing.
 
+        Times of creation are filled in where the table has such columns.
+        """
+        found = self._link(link)
+        return add_links(self.registry.df(found.table), pairs, found.source_key, found.target_key, self.registry.model(found.table))
 
-@contextmanager
-def transaction(registry: Registry):
-    """Snapshots bound inside become visible together; an exception brings the old ones back. One transaction at a time."""
-    if getattr(registry, "_in_transaction", False):
-        raise RuntimeError("transactions don't nest")
-    registry._in_transaction, old = True, dict(registry.snapshots)
-    try:
-        yield registry
-    except BaseException:
-        registry.snapshots = old
-        raise
-    finally:
-        registry._in_transaction = False
 
+def add_links(table: DataFrame, pairs: DataFrame, source: str, target: str, model: ModelDef | None = None) -> DataFrame:
+    fresh = pairs.select(F.col(pairs.columns[0]).cast(table.schema[source].dataType).alias(source), F.col(pairs.columns[1]).cast(table.schema[target].dataType).alias(target)).dropna().distinct()
+    fresh = fresh.join(table.select(source, target), [source, target], "left_anti")
+    for name in (model.created_at, model.updated_at) if model else ():
+        if name in table.columns:
+            fresh = fresh.withColumn(name, F.current_timestamp().cast(table.schema[name].dataType))
+    return table.unionByName(fresh, allowMissingColumns=True)

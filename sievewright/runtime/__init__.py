@@ -1 +1 @@
-"""What surrounds queries: configuration, transactions, lineage, retries, rates, batches, metrics, errors."""
+"""What surrounds queries: settings, retries, rates, parallel calls, metrics, errors, lineage."""

@@ -7,8 +7,8 @@ from pyspark.sql import types as T
 
 from sievewright.functions.compare import deep_equal, has_changes
 from sievewright.functions.rows import first_by_keys, foreign_keys, sanitize_keys
-from sievewright.model import FieldDef, LinkDef, ModelDef, Registry, RelationDef, UnknownField, UnknownModel
-from sievewright.operators.mutate import Mutations, transaction
+from sievewright.model import TransactionConflict, FieldDef, LinkDef, ModelDef, Registry, RelationDef, UnknownField, UnknownModel
+from sievewright.operators.mutate import Mutations
 from sievewright.operators.query import EntityQuery
 from sievewright.plans.graph import include_tree, path_to, sorted_by_dependency
 from sievewright.plans.search import parse
@@ -133,13 +133,29 @@ def test_create_update_delete(registry):
     assert sorted(map(tuple, links.collect())) == [(1, 1), (1, 2)]
 
 
-def test_transaction_restores(registry):
-    old = registry.df("user")
-    with pytest.raises(RuntimeError, match="nest"), transaction(registry):
+def test_transaction_isolates(registry):
+    import threading
+
+    old, seen = registry.df("user"), []
+    with pytest.raises(RuntimeError, match="nest"), registry.transaction():
         registry.bind("user", old.limit(0))
-        with transaction(registry):
+        with registry.transaction():
             pass
-    assert registry.df("user") is old
+    assert registry.df("user") is old and not registry.in_transaction
+    with registry.transaction():
+        registry.bind("user", old.limit(1))
+        reader = threading.Thread(target=lambda: seen.append(registry.df("user")))
+        reader.start()
+        reader.join()
+        assert registry.in_transaction and registry.df("user") is not old and seen == [old]
+    mine = registry.df("user")
+    assert mine is not old
+    with pytest.raises(TransactionConflict), registry.transaction():
+        registry.bind("user", old)
+        other = threading.Thread(target=lambda: registry.bind("user", old.limit(2)))
+        other.start()
+        other.join()
+    assert registry.df("user") is not old and registry.df("user") is not mine
 
 
 def test_rows_compare_and_runtime():
