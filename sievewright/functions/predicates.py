@@ -86,7 +86,7 @@ def json_match(c: Column, segments: list[str], ops: Mapping[str, object], insens
         found = F.try_variant_get(doc, path, "variant")
         if op == "hasEvery":
             items = F.try_variant_get(doc, path, "array<variant>")
-            return reduce(operator.and_, [F.exists(items, lambda x, v=v: F.coalesce(_json_equals(x, v), F.lit(False))) for v in value])
+            return reduce(operator.and_, [_json_holds(items, v) for v in value])
         if op == "equals":
             return _json_equals(found, value)
         if op in ("like", "startsWith", "endsWith"):
@@ -98,6 +98,10 @@ def json_match(c: Column, segments: list[str], ops: Mapping[str, object], insens
     return F.exists(F.array(F.try_parse_json(c)), test)
 
 
+def _json_holds(items: Column, value: object) -> Column:
+    return F.exists(items, lambda x: F.coalesce(_json_equals(x, value), F.lit(False)))
+
+
 def _json_text(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
