@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textblocks import blocks, prefix_hash, span_hash, string_buffers
@@ -20,9 +21,15 @@ from .textblocks import blocks, prefix_hash, span_hash, string_buffers
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """token -> rank from a file of ``base64 rank`` lines."""
-    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+def read_ranks(source: str | bytes) -> dict[bytes, int]:
+    """token -> rank from a file of ``base64 rank`` lines, or from its contents."""
+    raw = source if isinstance(source, bytes) else Path(source).read_bytes()
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
+
+
+def ship(spark: SparkSession, path: str) -> Broadcast:
+    """A vocabulary file's contents, read by the driver and sent to every executor: a few MB, whatever the data."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 @lru_cache(maxsize=1)
@@ -138,8 +145,8 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ByteBPE:
     """Encoder and decoder over blocks of rows; pre-tokens are encoded once and remembered by hash."""
 
-    def __init__(self, path: str = VOCABULARY, remember: int = 1_000_000):
-        ranks = read_ranks(path)
+    def __init__(self, source: str | bytes = VOCABULARY, remember: int = 1_000_000):
+        ranks = read_ranks(source)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.size = max(ranks.values()) + 1
         self._letters = dict(enumerate(byte_alphabet()))
@@ -160,8 +167,33 @@ class ByteBPE:
         # bytes seen as Latin-1 characters, then mapped one by one
         return self.model.encode([p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters) for p in pretokens], num_threads=1)
 
-    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of rows of UTF-8 bytes, and n+1 offsets into them."""
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of rows of UTF-8 bytes, n+1 offsets into them, and which rows decode to their bytes again.
+
+        Should two pre-tokens have one hash, the row that got the other's ids doesn't decode to its bytes, and is encoded anew
+        without what was remembered.
+        """
+        ids, at = self._encode(data, offsets)
+        same = self._decodes(ids, at, data, offsets)
+        if same.all():
+            return ids, at, same
+        rows = [ids[a:b] for a, b in zip(at, at[1:])]
+        for r in np.flatnonzero(~same):
+            self._forget()
+            rows[r] = self._encode(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))[0]
+        ids, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return ids, at, self._decodes(ids, at, data, offsets)
+
+    def _decodes(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        back, ends = self.decode_block(ids, at)
+        same = np.diff(ends) == np.diff(offsets)
+        if same.all():
+            wrong = np.flatnonzero(back != data)
+            same[np.searchsorted(offsets, wrong, "right") - 1] = False
+            return same
+        return np.array([bytes(back[a:b]) == bytes(data[c:d]) for a, b, c, d in zip(ends, ends[1:], offsets, offsets[1:])], bool)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = data.tobytes().decode("utf-8", "replace")
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(chars) == len(data):
@@ -207,19 +239,17 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str = VOCABULARY) -> ByteBPE:
-    """One per worker and vocabulary."""
-    return ByteBPE(path)
+def encoder(source: str | bytes = VOCABULARY) -> ByteBPE:
+    """One per worker and vocabulary, by its file's path or contents."""
+    return ByteBPE(source)
 
 
-def encode_column(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block of rows [i, j): ids, their offsets, and the block's bytes with theirs."""
+def encode_column(column: pa.Array, source: str | bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of rows [i, j): ids, their offsets, and which rows decode to their bytes again."""
     data, offsets, _ = string_buffers(column)
-    bpe = encoder(path)
+    bpe = encoder(source)
     for i, j in blocks(offsets, 1 << 20):
-        part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        ids, at = bpe.encode_block(part, off)
-        yield i, j, ids, at, part, off
+        yield i, j, *bpe.encode_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, also: Sequence[str] = ()) -> DataFrame:
@@ -229,20 +259,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``round_trip`` tells whether decoding gives back the text's bytes, which it does for any valid UTF-8. A null text has null
     ids, count and round trip; an empty one has no ids. Null and repeated doc_ids pass through, other columns are ignored, and
-    an empty table gives no rows. ``vocabulary`` is a file of ``base64 rank`` lines that executors can read.
+    an empty table gives no rows. ``vocabulary`` is a file of ``base64 rank`` lines that the driver reads and sends along.
     """
+    shipped = ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            for i, j, ids, at, part, off in encode_column(batch.column(1), vocabulary):
-                back, ends = encoder(vocabulary).decode_block(ids, at)
-                same = np.diff(ends) == np.diff(off)
-                if same.all():
-                    wrong = np.flatnonzero(back != part)
-                    same[np.searchsorted(off, wrong, "right") - 1] = False
-                else:
-                    same = np.array([bytes(back[a:b]) == bytes(part[c:d]) for a, b, c, d in zip(ends, ends[1:], off, off[1:])])
+            for i, j, ids, at, same in encode_column(batch.column(1), shipped.value):
                 null = pa.array(~valid[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=null) if (~valid[i:j]).any() else pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 more = [batch.column(2 + k).slice(i, j - i) for k in range(len(also))]
@@ -259,9 +283,10 @@ def decode_documents(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "
 
     Ids outside the vocabulary, or null among the ids, raise; bytes that aren't UTF-8 are replaced by U+FFFD.
     """
+    shipped = ship(tokens.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(shipped.value)
         for batch in batches:
             texts: list[str | None] = []
             for row in batch.column(1):

@@ -30,6 +30,24 @@ def marker(line: str) -> tuple[str | None, str]:
     return _ROLE_OF[next(g for g in found.groups() if g).lower()], line[found.end() :]
 
 
+_LETTERS = {"q": "a", "a": "q"}
+
+
+def markers(lines: list[str]) -> list[tuple[str | None, str]]:
+    """``marker`` of each line of a transcript. A single letter, ``Q:`` or ``A:``, names a speaker only where the other one does too:
+    a line such as "A: apples" in a transcript without questions is content."""
+    found = [_MARKER.match(x) for x in lines]
+    names = [next(g for g in f.groups() if g).lower() if f else None for f in found]
+    seen = set(names)
+    out: list[tuple[str | None, str]] = []
+    for line, f, name in zip(lines, found, names):
+        if f is None or name in _LETTERS and _LETTERS[name] not in seen:
+            out.append((None, line))
+        else:
+            out.append((_ROLE_OF[name], line[f.end() :]))
+    return out
+
+
 def line_symbol(line: str, first: bool) -> int:
     """A line's features as one of 64 symbols: whether it opens a turn, its length, whether it asks, whether it's a list or code."""
     size = min(7, max(0, int(math.log2(len(line) + 1)) - 1)) if line else 0
@@ -41,7 +59,8 @@ class RoleModel:
     """Log probabilities: of the first role, of the next turn's role, and of a line's symbol, by role.
 
     ``right_marker`` is how often a speaker marker names the true role. It outweighs what a few lines' style and the order of
-    roles can say, even where these were learnt from few and uniform conversations.
+    roles can say, even where these were learnt from few and uniform conversations. ``stay`` is how often a turn goes on at a line:
+    at a plain one, after blank lines in a transcript with markers and in one without, and at a marker.
     """
 
     start: Mapping[str, float]
@@ -55,10 +74,13 @@ def train_role_model(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
     """A model by smoothed counts over all labelled turns: of roles, of pairs of neighbours, and of line symbols.
 
     Turns with null or other roles don't count. What reaches the driver is a few hundred counts. Without labelled turns all is even.
+    How often blank lines lie within turns, rather than between them, says how often a turn goes on after some; where a transcript
+    has markers one turn in twenty is taken to lack its own.
     """
     known = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.lower(F.trim(role_col)).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     before = F.lag("r").over(Window.partitionBy("c").orderBy("t", "r", "x"))
-    pairs = known.withColumn("b", before).groupBy("b", "r").count().collect()
+    gaps = F.size(F.split(F.trim("x"), "\n[ \t\r]*\n\\s*")) - 1
+    pairs = known.withColumn("b", before).groupBy("b", "r").agg(F.count("*").alias("count"), F.sum(gaps).alias("gaps")).collect()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[str, int], int] = {}
@@ -87,41 +109,43 @@ def train_role_model(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
             total[group(k)] = total.get(group(k), 0) + v
         return {k: math.log(v / total[group(k)]) for k, v in counts.items()}
 
-    return RoleModel(logs(first, lambda k: 0), logs(turn, lambda k: k[0]), logs(emitted, lambda k: k[0]))
+    inside, between = sum(p["gaps"] for p in pairs) + 0.5, sum(p["count"] for p in pairs if p["b"] is not None) + 0.5
+    stay = {"line": 0.995, "blank": inside / (inside + 0.05 * between), "parted": inside / (inside + between), "marker": 0.05}
+    return RoleModel(logs(first, lambda k: 0), logs(turn, lambda k: k[0]), logs(emitted, lambda k: k[0]), stay=stay)
 
 
 def decode_roles(model: RoleModel, text: str) -> list[tuple[str, bool, str]]:
     """(role, whether a marker opens it, content) of each line of a transcript, by Viterbi; ties go to the first of ROLES.
 
     A line with a marker opens a turn. One after blank lines may open one: rarely in a transcript that has markers, mostly in one
-    that has none. Other lines go on with their turn, all but always.
+    that has none. Other lines go on with their turn, all but always. Content that looks like a marker is one, but for single
+    letters without their counterpart (``markers``).
     """
     lines = text.split("\n")
-    marks = [marker(x) for x in lines]
+    marks = markers(lines)
     parted = "blank" if any(m for m, _ in marks) else "parted"
     wrong = math.log((1 - model.right_marker) / (len(ROLES) - 1))
     right = math.log(model.right_marker)
-    logs = {k: (math.log(v), math.log(1 - v)) for k, v in model.stay.items()}
+    # from role to role: the turn goes on, or another one begins, whose role follows that of the last
+    move = {k: {(b, r): math.log((1 - v) * math.exp(model.turn[b, r]) + (v if b == r else 0.0)) for b in ROLES for r in ROLES} for k, v in model.stay.items()}
     best: dict[str, float] = {}
     back: list[dict[str, str]] = []
-    after_blank = True
+    after_blank, begun = True, False  # blank lines before all else belong to the first turn
     for n, (mark, rest) in enumerate(marks):
         opens = mark is not None or after_blank
         kind = "marker" if mark is not None else parted if after_blank and n else "line"
         symbol = line_symbol(rest, opens)
         now, come = {}, {}
         for r in ROLES:
-            if not best:
+            if not begun:
                 top, via = model.start[r], r
             else:
-                stay, go = logs[kind]
+                moved = move[kind]
                 top, via = -math.inf, r
                 for b in ROLES:
-                    w = go + model.turn[b, r]
-                    if b == r:
-                        w = max(w, stay) if kind != "line" and kind != "blank" else stay
-                    if best[b] + w > top:
-                        top, via = best[b] + w, b
+                    w = best[b] + moved[b, r]
+                    if w > top:
+                        top, via = w, b
             if rest.strip() or mark is None:
                 top += model.symbol[r, symbol] if rest.strip() else 0.0
             if mark is not None:
@@ -129,6 +153,7 @@ def decode_roles(model: RoleModel, text: str) -> list[tuple[str, bool, str]]:
             now[r], come[r] = top, via
         best = now
         back.append(come)
+        begun |= mark is not None or bool(rest.strip())
         after_blank = not rest.strip() and mark is None and (n > 0 or not rest)
     role = max(ROLES, key=lambda r: best[r])
     out = []
@@ -166,11 +191,12 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{content}\n<|end|>\n" for role, content in turns)
 
 
-def as_transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def as_transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", withhold: bool = False) -> DataFrame:
     """(conv_id, transcript): turns in order as plain text, each behind a speaker marker, in one of three styles by conversation.
 
     A null or other role has no marker and a blank line before it. Null texts are empty. A null conv_id is a conversation like any
-    other; ties in ``turn`` are ordered by role and text; null turns come first.
+    other; ties in ``turn`` are ordered by role and text; null turns come first. With ``withhold`` every other conversation, by its
+    hash, has no markers at all, only blank lines before its turns, and in the others every third turn, by its number, has none.
     """
     role = F.lower(F.trim(F.col(role_col)))
     style = F.coalesce(F.pmod(F.hash(F.col(conv_col)), F.lit(3)), F.lit(0))
@@ -179,6 +205,9 @@ def as_transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
         return F.when(role == "system", names[0]).when(role == "user", names[1]).when(role == "assistant", names[2]).otherwise("\n")
 
     mark = F.when(style == 0, spelled("System: ", "User: ", "Assistant: ")).when(style == 1, spelled("### System\n", "### Human\n", "### AI\n")).otherwise(spelled("<|system|>\n", "<|user|>\n", "<|assistant|>\n"))
+    if withhold:
+        bare = (F.pmod(F.xxhash64(F.col(conv_col)), F.lit(2)) == 0) | (F.pmod(F.col(turn_col), F.lit(3)) == 2)
+        mark = F.when(F.coalesce(bare, F.lit(False)), F.lit("\n")).otherwise(mark)
     piece = F.struct(F.col(turn_col).alias("t"), role.alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"), mark.alias("m"))
     lines = F.transform(F.array_sort(F.collect_list(piece)), lambda p: F.concat(p["m"], p["x"]))
     return turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_join(lines, "\n").alias("transcript"))

@@ -1,4 +1,8 @@
-"""Language identification by sparse multinomial logistic regression on TF-IDF of character n-grams."""
+"""Language identification by sparse multinomial logistic regression on TF-IDF of character n-grams.
+
+Features are lower-cased character n-grams of ORDERS lengths, 1 to 3, hashed to 2**BITS = 32768 places: n-grams that share a place
+count as one feature, at every size of the data. The table of weights has so many rows, whatever the corpus holds.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ BITS = 15
 SIZE = 1 << BITS
 ORDERS = 3
 SCALE = 100.0
+_ROWS = 512  # rows whose features are marked at once, 16 MB
 
 _LOWER = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -61,13 +66,15 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         for batch in batches:
             data, offsets, _ = string_buffers(batch.column(0))
             for i, j in blocks(offsets, 1 << 18):
-                chars, rows = code_points(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                seen = np.zeros((j - i, SIZE + 1), bool)
-                of = np.repeat(np.arange(j - i), np.diff(rows))
-                for f, _ in ngram_features(chars, rows):
-                    seen[of, f] = True
-                total[:SIZE] += seen[:, :SIZE].sum(0)
-                total[SIZE] += int((np.diff(rows) > 0).sum())
+                for k in range(i, j, _ROWS):
+                    m = min(j, k + _ROWS)
+                    chars, rows = code_points(data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k])
+                    seen = np.zeros((m - k, SIZE + 1), bool)
+                    of = np.repeat(np.arange(m - k), np.diff(rows))
+                    for f, _ in ngram_features(chars, rows):
+                        seen[of, f] = True
+                    total[:SIZE] += seen[:, :SIZE].sum(0)
+                    total[SIZE] += int((np.diff(rows) > 0).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["feature", "df"])
 
@@ -163,27 +170,60 @@ class LanguageModel:
         return SCALE * total / np.maximum(count, 1)[:, None] + self.bias, count > 0
 
 
+def choose_training_keys(usable: DataFrame, most: int) -> DataFrame:
+    """(l, k): of each language the keys of least hash, equally many by language and at most ``most`` in all, of usable (l, k, ..).
+
+    Hashes below a bound that each language's count suggests are looked at, and the bound is raised where repeated keys leave too
+    few: so only a few more keys than wanted are ever ranked.
+    """
+    rows = usable.select("l", "k", F.shiftrightunsigned(F.xxhash64("k", F.lit(3)), 1).alias("h"))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    if not counts:
+        return cut(usable.select("l", "k").limit(0))
+    want, top = max(1, most // len(counts)), (1 << 63) - 1
+    bounds = {x: min(top, int((1.5 * want + 100) / n * top)) for x, n in counts.items()}
+    while True:
+        table = F.create_map(*(F.lit(v) for pair in bounds.items() for v in pair))
+        few = cut(rows.where(F.col("h") <= table[F.col("l")]).distinct())
+        found = {r["l"]: r["count"] for r in few.groupBy("l").count().collect()}
+        short = [x for x in bounds if found.get(x, 0) < want and bounds[x] < top]
+        if not short:
+            break
+        bounds |= {x: min(top, bounds[x] * 4) for x in short}
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
+    return cut(few.withColumn("n", nth).where(F.col("n") <= want).select("l", "k"))
+
+
 def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train_rows: int = 4000, holdout: float = 0.2) -> LanguageModel:
     """A model from at most ``max_train_rows`` labelled texts, those of least hashed id, equally many by language; the inverse
     document frequencies are of all texts. A repeated id stands for its least text. A share ``holdout`` of the sample sets the temperature and isn't trained on.
+    The driver gets the sample's features, not its texts.
     """
     df, texts = document_frequencies(docs, text_col)
     idf = np.log((1 + texts) / (1 + df)) + 1.0
-    # ids are chosen before texts move: tasks hand over keys, and only the chosen texts reach the driver
     key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.xxhash64(text_col).cast("string")))
     usable = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(lang_col).cast("string").alias("l"), key.alias("k"), F.col(text_col).cast("string").alias("t"))
-    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit(3)), "k"))
-    chosen = cut(usable.select("l", "k", nth.alias("n")).where(F.col("n") <= max_train_rows))
-    languages = tuple(sorted(r["l"] for r in chosen.select("l").distinct().collect()))
-    if not languages:
+    few = choose_training_keys(usable, max_train_rows)
+    sample = usable.join(F.broadcast(few), ["l", "k"]).groupBy("l", "k").agg(F.min("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = term_frequencies(batch.column(2).to_pylist())
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(at) for at, _ in found])]).astype(np.int32))
+            at = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([a for a, _ in found]).astype(np.int16) if found else np.zeros(0, np.int16)))
+            tf = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for _, x in found]).astype(np.float32) if found else np.zeros(0, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, tf], ["l", "k", "at", "tf"])
+
+    rows = sample.mapInArrow(run, "l string, k string, at array<short>, tf array<float>").toArrow()
+    if not rows.num_rows:
         return LanguageModel((), np.zeros((SIZE + 1, 0), np.float32), np.zeros(0), 1.0)
-    few = chosen.where(F.col("n") <= max(1, max_train_rows // len(languages))).select("l", "k").distinct()
-    rows = usable.join(F.broadcast(few), ["l", "k"]).groupBy("l", "k").agg(F.min("t").alias("t")).collect()
-    rows.sort(key=lambda r: (r["l"], r["k"]))
-    by, kinds = [r["t"] for r in rows], [languages.index(r["l"]) for r in rows]
-    labels = np.array(kinds)
-    examples = [(at, x * idf[at]) for at, x in term_frequencies(by)]
-    out = np.random.default_rng(11).random(len(by)) < holdout
+    rows = rows.sort_by([("l", "ascending"), ("k", "ascending")])
+    names = rows["l"].to_pylist()
+    languages = tuple(sorted(set(names)))
+    labels = np.array([languages.index(x) for x in names])
+    features = [(at.values.to_numpy().astype(np.int64), tf.values.to_numpy().astype(np.float64)) for at, tf in zip(rows["at"], rows["tf"])]
+    examples = [(at, x * idf[at]) for at, x in features]
+    out = np.random.default_rng(11).random(len(names)) < holdout
     inside, held = np.flatnonzero(~out), np.flatnonzero(out)
     w = train_ftrl([examples[i] for i in inside], labels[inside], len(languages))
     scores = np.array([examples[i][1] @ w[examples[i][0]] + w[SIZE] for i in held]).reshape(len(held), len(languages))

@@ -31,3 +31,10 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared file system and all below it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark would take it to have: a path without one lies in the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found

@@ -209,10 +209,12 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
     chosen = cut(known.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows))
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"), "__label")
-    both = document_statistics(sample).join(F.broadcast(chosen.withColumnRenamed("__id", "doc_id")), "doc_id").orderBy("doc_id", "statistics").select("statistics", "__label").toPandas()
+    both = document_statistics(sample).join(F.broadcast(chosen.withColumnRenamed("__id", "doc_id")), "doc_id").select("statistics", "__label").toPandas()
     if not len(both):
         return train_trees(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(both["statistics"].tolist()), (both["__label"].to_numpy() > 0).astype(np.float64)
+    order = np.lexsort((y, *x.T))  # whatever order the rows came in
+    x, y = x[order], y[order]
     return train_trees(x, y, {FEATURES.index(k): v for k, v in MONOTONIC.items()})
 
 

@@ -57,6 +57,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_transcripts(as_transcripts(turns), train_role_model(turns))
 
 
+def op8_withheld_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where half the conversations and a third of the others' turns have no marker: there the model alone tells the roles."""
+    turns = _table(spark, sf_dir, "conversations")
+    return format_transcripts(as_transcripts(turns, withhold=True), train_role_model(turns))
+
+
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = convert_archives(pack_pages(_table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo'")
     return records.select("record_id", "warc_type", "target_uri", "warc_date", "ip_address", "content_type", "content_length", "block_digest", "payload_digest", F.col("record").cast("string").alias("record"))
@@ -66,7 +72,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_chat_formatting, op9_arc_to_warc, op10_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_language_id, op4_document_fingerprints, op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_chat_formatting, op8_withheld_markers, op9_arc_to_warc, op10_token_store)}
 
 _LINE_DEDUP_SQL = """
 WITH lines AS (

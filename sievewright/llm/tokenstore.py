@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, encode_column, encoder
-from .lineage import shared_folder
+from .bpe import VOCABULARY, encode_column, encoder, ship
+from .lineage import cut, qualified, shared_folder
 from .textblocks import mix64
 
 GAMMA = 2  # bits of a level for each key that it gets
@@ -124,7 +124,9 @@ def write_token_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     and the first, by shard and offset, is indexed. Other columns are ignored. An empty table makes a store that finds nothing.
     """
     spark = docs.sparkSession
-    wide = encoder(vocabulary).size > 1 << 16
+    folder = qualified(spark, folder)
+    shipped = ship(spark, vocabulary)
+    wide = encoder(shipped.value).size > 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def write_token_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                 fs, path = _files(f"{folder}/shards/{name}")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path)
-            for i, j, ids, at, _, _ in encode_column(batch.column(1), vocabulary):
+            for i, j, ids, at, *_ in encode_column(batch.column(1), shipped.value):
                 out.write(ids.astype(kind).tobytes())
                 n = j - i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(np.full(n, number, np.int32)), pa.array([name] * n), pa.array(at[:-1] + done), pa.array(np.diff(at).astype(np.int32))], ["doc_id", "shard", "file", "id_offset", "n_ids"])
@@ -149,6 +151,8 @@ def write_token_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     thin.mapInArrow(store, "doc_id long, shard int, file string, id_offset long, n_ids int").write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema("doc_id long, shard int, file string, id_offset long, n_ids int").parquet(f"{folder}/manifest")
+    # the first place of each key, before keys are brought together: a key may be repeated by any number of rows
+    manifest = cut(manifest.groupBy("doc_id").agg(F.min(F.struct("shard", "id_offset", "file", "n_ids")).alias("x")).select("doc_id", "x.shard", "x.file", "x.id_offset", "x.n_ids"))
     indexes = max(1, -(-manifest.count() // keys_per_index))
     _write(f"{folder}/store.json", json.dumps({"indexes": indexes, "bytes": kind.itemsize}).encode())
 
@@ -158,11 +162,7 @@ def write_token_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns], ["index", *batch.schema.names])
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("shard", "ascending"), ("id_offset", "ascending")])
-        keys = table["doc_id"].to_numpy()
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        table = table.filter(pa.array(first)).combine_chunks()
+        table = table.sort_by("doc_id").combine_chunks()
         keys, index = table["doc_id"].to_numpy(), table["index"][0].as_py()
         named = table["file"].combine_chunks().dictionary_encode()
         data, slot = pack_index(keys, named.indices.to_numpy(), named.dictionary.to_pylist(), table["id_offset"].to_numpy(), table["n_ids"].to_numpy())
@@ -182,14 +182,17 @@ def token_store(docs: DataFrame, folder: str | None = None, **how: object) -> Da
 
 
 class TokenStore:
-    """Reads a store: get(key) takes one hash evaluation, one index entry and one ranged read of a shard."""
+    """Reads a store: get(key) takes one hash evaluation, one index entry and one ranged read of a shard.
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    ``most_loaded`` indexes are kept in memory. A folder without scheme lies in the local file system.
+    """
+
+    def __init__(self, folder: str, most_loaded: int = 8):
+        self.folder, self.most_loaded = folder, most_loaded
         with self._open("store.json") as f:
             about = json.loads(f.read())
         self.indexes, self.kind = about["indexes"], np.dtype("<u4" if about["bytes"] == 4 else "<u2")
-        self._loaded: dict[int, tuple] = {}
+        self._loaded: dict[int, tuple | None] = {}
 
     def _open(self, name: str):
         fs, path = _files(f"{self.folder}/{name}")
@@ -201,38 +204,69 @@ class TokenStore:
                 with self._open(f"index/{i:06d}") as f:
                     raw = io.BytesIO(f.read())
             except FileNotFoundError:
-                self._loaded[i] = None
+                found = None
             else:
                 a = [np.load(raw, allow_pickle=False) for _ in range(7)]
-                self._loaded[i] = (PerfectHash(a[0], a[1]), *a[2:6], json.loads(a[6].tobytes()))
+                found = (PerfectHash(a[0], a[1]), *a[2:6], json.loads(a[6].tobytes()))
+            while len(self._loaded) >= self.most_loaded:
+                self._loaded.pop(next(iter(self._loaded)))
+            self._loaded[i] = found
         return self._loaded[i]
 
     def get(self, key: int) -> np.ndarray | None:
         """The key's token ids; None for a key that isn't stored."""
-        k = np.array([key], np.int64)
-        found = self._index(int(bucket_of(k, self.indexes)[0]))
-        if found is None:
-            return None
-        mph, prints, shard, offset, count, files = found
-        slot = int(mph.slot(k)[0])
-        if slot < 0 or prints[slot] != print_of(k)[0]:
-            return None
-        with self._open(f"shards/{files[shard[slot]]}") as f:
-            f.seek(int(offset[slot]) * self.kind.itemsize)
-            return np.frombuffer(f.read(int(count[slot]) * self.kind.itemsize), self.kind)
-
-    def get_many(self, keys: Iterable[int]) -> list[np.ndarray | None]:
-        return [self.get(k) for k in keys]
+        return self.get_many([key])[0]
+
+    def get_many(self, keys: Iterable[int | None]) -> list[np.ndarray | None]:
+        """Token ids of each key, in the order of keys; index by index, and in each by shard and offset."""
+        asked = list(keys)
+        out: list[np.ndarray | None] = [None] * len(asked)
+        given = np.array([n for n, k in enumerate(asked) if k is not None], np.int64)
+        if not len(given):
+            return out
+        k = np.array([asked[n] for n in given], np.int64)
+        bucket = bucket_of(k, self.indexes)
+        for b in np.unique(bucket):
+            found = self._index(int(b))
+            if found is None:
+                continue
+            mph, prints, shard, offset, count, files = found
+            here = np.flatnonzero(bucket == b)
+            slot = mph.slot(k[here])
+            known = slot >= 0
+            known[known] = prints[slot[known]] == print_of(k[here][known])
+            here, slot = here[known], slot[known]
+            order = np.lexsort((offset[slot], shard[slot]))
+            here, slot = here[order], slot[order]
+            for s in np.unique(shard[slot]):
+                with self._open(f"shards/{files[s]}") as f:
+                    for n, x in zip(here[shard[slot] == s], slot[shard[slot] == s]):
+                        f.seek(int(offset[x]) * self.kind.itemsize)
+                        out[given[n]] = np.frombuffer(f.read(int(count[x]) * self.kind.itemsize), self.kind)
+        return out
 
 
 def read_token_store(spark: SparkSession, folder: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """(doc_id, token_ids) for each row of keys, null ids for keys that aren't stored: a distributed keyed read."""
+    """(doc_id, token_ids) for each row of keys, null ids for null keys and keys that aren't stored: a distributed keyed read.
+
+    Keys are brought together by index, so that a task loads each of its indexes once and holds one; an index that very many rows
+    ask for is split over tasks by adaptive execution. Repeated keys are answered each time; other columns are ignored.
+    """
+    folder = qualified(spark, folder)
+    indexes = TokenStore(folder).indexes
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bucket_of(batch.column(0).fill_null(0).to_numpy(), indexes)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0)], ["index", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = TokenStore(folder)
+        store = TokenStore(folder, most_loaded=1)
         for batch in batches:
-            ids = [None if k is None else store.get(k) for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.column(1).slice(i, 1000)
+                ids = store.get_many(part.to_pylist())
+                yield pa.RecordBatch.from_arrays([part, pa.array([None if x is None else x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
-    thin = keys.select(F.col(key_col).cast("long").alias("doc_id"))
-    return thin.mapInArrow(run, "doc_id long, token_ids array<int>")
+    thin = keys.select(F.col(key_col).cast("long").alias("doc_id")).mapInArrow(place, "index int, doc_id long")
+    return thin.hint("rebalance", "index").sortWithinPartitions("index").mapInArrow(run, "doc_id long, token_ids array<int>")

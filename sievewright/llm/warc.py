@@ -7,7 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,23 +28,41 @@ class ArcRecord:
     content_type: str
     block: bytes
     short: bool  # the archive ends before the declared length
+    skipped: int = 0  # bytes before the header that belong to no record, blank lines left out
+
+
+def _unpacked(data: bytes, step: int = 1 << 16) -> tuple[bytes, bool]:
+    """The bytes of gzip members, one or many, as far as they can be had, and whether all of them could."""
+    parts: list[bytes] = []
+    while data[:2] == b"\x1f\x8b":
+        unzip = zlib.decompressobj(31)
+        at = 0
+        try:
+            while at < len(data) and not unzip.eof:
+                parts.append(unzip.decompress(data[at : at + step]))
+                at += step
+        except zlib.error:
+            return b"".join(parts), False
+        if not unzip.eof:
+            return b"".join([*parts, unzip.flush()]), False
+        data = unzip.unused_data + data[at:]
+    return b"".join(parts), not data.strip(b"\0\r\n ")
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of an ARC file, the version block first; gzip members, one or many, are unpacked.
 
+    Where a member is damaged, records end with what came before; the last one is then ``short``, whatever length it has.
+
     The version that the file's first record states decides the header line's fields: five in version 1, ten in version 2. Blocks
     have exactly the declared length, whatever they hold. A URL or content type may contain blanks. Bytes where a header line
-    should be and isn't are passed over up to the next line that is one. A header without version block is taken as version 1.
+    should be and isn't are passed over up to the next line that is one, and counted as its ``skipped``. A header without version block is taken as version 1.
     """
+    sound = True
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(data) + unzip.flush())
-            data = unzip.unused_data
-        data = b"".join(parts)
-    version, at = 1, 0
+        data, sound = _unpacked(data)
+    version, at, skipped = 1, 0, 0
+    held: ArcRecord | None = None
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -54,6 +72,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if line:
             match = _V1.match(line) if head or version == 1 else _V2.match(line) or _V1.match(line)
         if match is None:
+            skipped += end - at if line else 0
             at = end + 1
             continue
         fields = match.groups()
@@ -61,8 +80,12 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         block = data[start : start + size]
         if head:
             version = 2 if block[:1] == b"2" else 1
-        yield ArcRecord(at, fields[0], fields[1], fields[2], fields[3].strip(), block, len(block) < size)
-        at = start + size
+        if held is not None:
+            yield held
+        held = ArcRecord(at, fields[0], fields[1], fields[2], fields[3].strip(), block, len(block) < size, skipped)
+        at, skipped = start + size, 0
+    if held is not None:
+        yield held if sound else replace(held, short=True)
 
 
 def arc_file(name: str, version: int, records: list[tuple[str, str, str, str, bytes]]) -> bytes:
@@ -139,14 +162,15 @@ def to_warc(r: ArcRecord) -> WarcRecord:
     return WarcRecord(record_id(r.url, date, block), "resource", r.url, date, ip, kind, block, block, cut, r.block)
 
 
-WARC_SCHEMA = "archive string, arc_offset long, record_id string, warc_type string, target_uri string, warc_date string, ip_address string, content_type string, content_length long, block_digest string, payload_digest string, truncated string, record binary"
+WARC_SCHEMA = "archive string, arc_offset long, record_id string, warc_type string, target_uri string, warc_date string, ip_address string, content_type string, content_length long, block_digest string, payload_digest string, truncated string, skipped long, record binary"
 
 
 def convert_archives(archives: DataFrame, name_col: str = "path", content_col: str = "content") -> DataFrame:
     """WARC_SCHEMA rows, one for each record of each ARC file (name, bytes), ``record`` being the WARC record as written to a file.
 
-    One narrow pass; an archive is parsed by one task. Null and empty contents have no records; a null name stays null; repeated
-    archives are converted each time; other columns are ignored. Equal records have equal identifiers.
+    ``truncated`` says that the archive ends, or is damaged, within or after the record; ``skipped`` counts bytes before it that
+    belong to none. One narrow pass; an archive is parsed by one task. The file's name may be any column's, others are ignored. Null and empty contents have no records; a null name stays null; repeated
+    archives are converted each time. Equal records have equal identifiers.
     """
     names = [f.split()[0] for f in WARC_SCHEMA.split(", ")]
 
@@ -158,7 +182,7 @@ def convert_archives(archives: DataFrame, name_col: str = "path", content_col: s
                 for r in parse_arc(data or b""):
                     w = to_warc(r)
                     raw = w.to_bytes()
-                    rows.append((name, r.offset, w.record_id, w.warc_type, w.target_uri, w.warc_date, w.ip_address, w.content_type, len(w.block), w.block_digest, w.payload_digest, w.truncated, raw))
+                    rows.append((name, r.offset, w.record_id, w.warc_type, w.target_uri, w.warc_date, w.ip_address, w.content_type, len(w.block), w.block_digest, w.payload_digest, w.truncated, r.skipped, raw))
                     held += len(raw)
                     if held > 4 << 20:
                         yield _batch(rows, names)

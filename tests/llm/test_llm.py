@@ -242,6 +242,84 @@ def test_langid(spark, odd, none):
     assert langid.identify_languages(none).count() == 0
 
 
+def ngrams_by_loop(text):
+    """{feature: count} of a text, n-gram by n-gram with whole numbers."""
+    chars, out = [ord(c.lower()) if ord(c) < 0x250 and len(c.lower()) == 1 else ord(c) for c in text], {}
+    for order in (1, 2, 3):
+        for i in range(len(chars) - order + 1):
+            h = 0
+            for k in range(order):
+                h = (h + (chars[i + k] + k + 1) * int(langid._K[k])) % 2**32
+                h ^= h >> 15
+            f = (h * 0x27D4EB2F % 2**32) >> (32 - langid.BITS)
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_language_scores_against_a_plain_loop(spark):
+    rng = np.random.default_rng(8)
+    texts = ["The river RUNS", "Über señor", "漢字 und mehr", "a", "xy"]
+    for (at, tf), t in zip(langid.term_frequencies(texts), texts):
+        count = ngrams_by_loop(t)
+        assert dict(zip(at.tolist(), tf.tolist())) == pytest.approx({f: langid.SCALE * n / sum(count.values()) for f, n in count.items()})
+    table = rng.normal(size=(langid.SIZE + 1, 3)).astype(np.float32)
+    table[langid.SIZE] = 0
+    model = langid.LanguageModel(("a", "b", "c"), table, rng.normal(size=3), 1.7)
+    rows = langid.identify_languages(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string"), model).collect()
+    for r in rows:
+        count = ngrams_by_loop(texts[r["doc_id"]])
+        z = [(langid.SCALE * sum(n * float(table[f, c]) for f, n in count.items()) / sum(count.values()) + model.bias[c]) / 1.7 for c in range(3)]
+        p = np.exp(z - np.max(z)) / np.exp(z - np.max(z)).sum()
+        assert r["predicted"] == "abc"[int(p.argmax())] and r["confidence"] == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    examples = [(np.sort(rng.choice(40, 5, replace=False)), rng.uniform(0.1, 2, 5)) for _ in range(30)]
+    labels = rng.integers(0, 3, 30)
+    got = langid.train_ftrl(examples, labels, 3, alpha=0.3, beta=1.0, l1=0.4, l2=0.01, epochs=2, seed=4)
+    z, n, order = {}, {}, np.random.default_rng(4)
+
+    def weight(f, c):
+        bound = 0.0 if f == langid.SIZE else 0.4
+        x = z.get((f, c), 0.0)
+        return 0.0 if abs(x) <= bound else -(x - np.sign(x) * bound) / ((1.0 + n.get((f, c), 0.0) ** 0.5) / 0.3 + 0.01)
+
+    for _ in range(2):
+        for i in order.permutation(30):
+            terms = [*zip(examples[i][0].tolist(), examples[i][1].tolist()), (langid.SIZE, 1.0)]
+            w = {(f, c): weight(f, c) for f, _ in terms for c in range(3)}
+            scores = [sum(x * w[f, c] for f, x in terms) for c in range(3)]
+            p = np.exp(np.array(scores) - max(scores))
+            p /= p.sum()
+            for f, x in terms:
+                for c in range(3):
+                    g = x * (p[c] - (labels[i] == c))
+                    old = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / 0.3 * w[f, c]
+                    n[f, c] = old + g * g
+    for f in [*range(40), langid.SIZE]:
+        for c in range(3):
+            assert got[f, c] == pytest.approx(weight(f, c), abs=1e-9)
+    assert (got[:40] == 0).any()
+
+
+def test_training_keys_are_those_of_least_hash(spark):
+    rows = [("hot", f"k{i % 900}", "t") for i in range(9000)] + [("rare", f"r{i}", "t") for i in range(30)]
+    usable = spark.createDataFrame(rows, "l string, k string, t string").cache()
+    hashed = usable.select("l", "k", F.shiftrightunsigned(F.xxhash64("k", F.lit(3)), 1).alias("h")).distinct().collect()
+    for most in (100, 4000):
+        want = {(r["l"], r["k"]) for x in ("hot", "rare") for r in sorted((r for r in hashed if r["l"] == x), key=lambda r: r["h"])[: most // 2]}
+        assert {(r["l"], r["k"]) for r in langid.choose_training_keys(usable, most).collect()} == want
+    assert langid.choose_training_keys(usable.limit(0), 10).count() == 0
+
+
+def test_many_short_texts_take_little_memory(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(5000)], "doc_id long, text string")
+    df, n = langid.document_frequencies(docs)
+    assert n == 5000 and sorted(df[df > 0].tolist()) == [2500, 2500]
+
+
 def test_temperature_of_faultless_scores_is_finite():
     scores = np.eye(3)[[0, 1, 2] * 10] * 50.0
     t = langid.fit_temperature(scores, np.array([0, 1, 2] * 10))
@@ -315,6 +393,47 @@ def test_quality(spark, odd, none):
     assert len(empty.value) == 0 and quality.score_quality(docs, empty).count() == 240
 
 
+def statistics_by_loop(text):
+    """The statistics of an ASCII text, word by word and line by line."""
+    words, tokens, lines = re.findall(r"[A-Za-z0-9]+", text), text.split(), [x for x in text.split("\n") if x]
+    low, n = [w.lower() for w in words], len(text)
+    kinds = {k: sum(bool(re.match(p, c)) for c in text) / n for k, p in {"letter": "[a-z]", "capital": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()\-]", "blank": r"\s"}.items()}
+    symbol = re.compile(r"[^a-zA-Z0-9.,;:!?'\"()\-\s]")
+    some = max(len(words), 1)
+    again = sum(len(x) for i, x in enumerate(lines) if x in lines[:i])
+    return [
+        np.log1p(n), np.log1p(len(words)), sum(map(len, words)) / some, kinds["letter"] + kinds["capital"], kinds["digit"], kinds["stop"], len(symbol.findall(text)) / n, kinds["capital"], kinds["blank"],
+        np.log1p(n / max(len(lines), 1)), again / n, len(set(low)) / some, sum(len(w) <= 3 for w in words) / some, max((low.count(w) for w in low), default=0) / some, sum(bool(symbol.search(t)) for t in tokens) / max(len(tokens), 1),
+    ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aB3 .#\n\t", min_size=1, max_size=60), min_size=1, max_size=5))
+def test_statistics_against_a_plain_loop(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = quality.statistics(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for row, t in zip(got, texts):
+        assert row.tolist() == pytest.approx(statistics_by_loop(t))
+
+
+def test_tree_scores_against_a_walk(spark):
+    rng = np.random.default_rng(6)
+    good, bad = [prose(random.Random(i), 40) + "." for i in range(40)], [" ".join(rng.choice(["$$", "##", "buy"], 40)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    model = quality.train_quality_model(docs, spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int"))
+    assert len(model.value) == 60
+    for r in quality.score_quality(docs, model).collect():
+        text = (good + bad)[r["doc_id"]]
+        x = quality.statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+        total = model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total))) and r["keep"] == (r["score"] >= 0.5)
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
@@ -337,13 +456,26 @@ def test_bpe_equals_the_merges_and_round_trips(texts):
 
     ranks = bpe.read_ranks(bpe.VOCABULARY)
     own = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for _, _, ids, at, part, off in bpe.encode_column(pa.array(texts), bpe.VOCABULARY):
+    for _, _, ids, at, same in bpe.encode_column(pa.array(texts), bpe.VOCABULARY):
+        assert same.all()
         back, ends = bpe.encoder().decode_block(ids, at)
         for n, t in enumerate(texts):
             assert ids[at[n] : at[n + 1]].tolist() == own.encode_ordinary(t)
             assert back[ends[n] : ends[n + 1]].tobytes().decode() == t
 
 
+def test_bpe_survives_equal_hashes(monkeypatch):
+    texts = ["one two three", "four five", "", "six"]
+    own = bpe.ByteBPE()
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want, at, _ = own.encode_block(data, off)
+    own._forget()
+    real = bpe.span_hash
+    monkeypatch.setattr(bpe, "span_hash", lambda p, a, b: real(p, a, b) % np.uint64(5) if len(a) > 3 else real(p, a, b))
+    got, ends, same = own.encode_block(data, off)
+    assert got.tolist() == want.tolist() and ends.tolist() == at.tolist() and same.all()
+
+
 def test_bpe_odd(odd, none):
     rows = bpe.encode_documents(odd).collect()
     by = {r["doc_id"]: r for r in rows}
@@ -491,22 +623,69 @@ def test_chat(spark, odd):
     assert chat.format_transcripts(odd, model, "doc_id", "text").count() == odd.count()
 
 
-def best_by_search(model, text):
-    """The most probable roles by trying all."""
+def path_score(model, text, roles):
+    """Log probability of a sequence of roles, written out from the model's definition."""
+    lines = text.split("\n")
+    marks = chat.markers(lines)
+    marked, total, after_blank = any(m for m, _ in marks), 0.0, True
+    first = next((n for n, (m, x) in enumerate(marks) if m or x.strip()), len(lines) - 1)
+    if len(set(roles[: first + 1])) > 1:
+        return -np.inf
+    for n, ((mark, rest), role) in enumerate(zip(marks, roles)):
+        kind = "marker" if mark else ("blank" if marked else "parted") if after_blank and n else "line"
+        if n <= first:
+            total += model.start[role] * (n == first)
+        else:
+            stay, b = model.stay[kind], roles[n - 1]
+            total += np.log((stay if b == role else 0.0) + (1 - stay) * np.exp(model.turn[b, role]))
+        if rest.strip():
+            total += model.symbol[role, chat.line_symbol(rest, bool(mark) or after_blank)]
+        if mark:
+            total += np.log(model.right_marker if mark == role else (1 - model.right_marker) / 2)
+        after_blank = not rest.strip() and mark is None and (n > 0 or not rest)
+    return total
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.lists(st.sampled_from(["User: a?", "AI: b", "- c", "", "what is it?", "Q: d", "A: apples", "plain words go on", "### System"]), min_size=1, max_size=6))
+def test_viterbi_against_all_sequences(seed, lines):
     import itertools
 
-    lines = text.split("\n")
-    top = -np.inf
-    for roles in itertools.product(chat.ROLES, repeat=len(lines)):
-        if [chat.marker(x)[0] for x in lines] == list(roles):
-            top = roles
-    return top
+    rng = np.random.default_rng(seed)
+
+    def logs(n):
+        return np.log(rng.dirichlet(np.ones(n)))
+
+    turn = {(a, b): x for a in chat.ROLES for b, x in zip(chat.ROLES, logs(3))}
+    symbol = {(r, k): x for r in chat.ROLES for k, x in enumerate(logs(64))}
+    model = chat.RoleModel(dict(zip(chat.ROLES, logs(3))), turn, symbol, right_marker=rng.uniform(0.4, 0.99))
+    text = "\n".join(lines)
+    best = max(path_score(model, text, p) for p in itertools.product(chat.ROLES, repeat=len(lines)))
+    got = tuple(r for r, _, _ in chat.decode_roles(model, text))
+    assert path_score(model, text, got) == pytest.approx(best, abs=1e-9)
+    assert sum(np.exp(turn[chat.ROLES[0], r]) for r in chat.ROLES) == pytest.approx(1)
+
 
+def test_lone_letters_are_content():
+    assert chat.markers(["A: apples", "b"]) == [(None, "A: apples"), (None, "b")]
+    assert [m for m, _ in chat.markers(["Q: why?", "A: so"])] == ["user", "assistant"]
 
-def test_viterbi_follows_markers():
+
+def test_roles_without_markers(spark):
+    folder = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    model = chat.train_role_model(turns)
+    want = {r["conv_id"]: [t["role"] for t in sorted(r["x"], key=lambda t: t["turn"])] for r in turns.where("trim(text) <> ''").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("x")).collect()}
+    bare = chat.as_transcripts(turns, withhold=True)
+    got = {r["conv_id"]: r["roles"] for r in chat.format_transcripts(bare, model).collect()}
+    without = bare.where(~F.col("transcript").rlike(r"(?m)^(System:|User:|Assistant:|### |<\|)")).count()
+    assert without > 30 and np.mean([got[c] == want[c] for c in want]) > 0.9
+
+
+def test_long_transcript():
     model = chat.RoleModel({r: np.log(1 / 3) for r in chat.ROLES}, {(a, b): np.log(1 / 3) for a in chat.ROLES for b in chat.ROLES}, {(r, s): np.log(1 / 64) for r in chat.ROLES for s in range(64)})
-    text = "User: a\nAI: b\nsystem: c\nQ: d"
-    assert tuple(r for r, _, _ in chat.decode_roles(model, text)) == best_by_search(model, text)
+    turns = chat.turns_of(model, "\n".join(f"{'User' if i % 2 else 'AI'}: line {i}\nmore" for i in range(3000)))
+    assert len(turns) == 3000 and turns[2999] == ("user", "line 2999\nmore")
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -528,6 +707,30 @@ def test_arc_to_warc(spark, version):
     assert {r["archive"] for r in rows} == {"plain", "gz", "cut"} and len({r["record_id"] for r in plain}) == 4
 
 
+def test_damaged_archives(spark):
+    import gzip
+
+    rng = random.Random(9)
+    records = [(f"http://a.org/{i}", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\n\r\n" + bytes(rng.randrange(256) for _ in range(30_000))) for i in range(8)]
+    raw = warc.arc_file("t.arc", 1, records)
+    packed = gzip.compress(raw)
+    broken = bytearray(packed)
+    broken[len(broken) * 3 // 4] ^= 0xFF
+    broken[len(broken) * 3 // 4 + 1 : len(broken) * 3 // 4 + 40] = b"\xff" * 39
+    junk = raw.replace(b"\nhttp://a.org/3 ", b"\nnot a header at all\nhttp://a.org/3 ")
+    files = [("cut", packed[: len(packed) // 2]), ("broken", bytes(broken)), ("noise", b"\x1f\x8b" + b"x" * 50), ("junk", junk), ("two", gzip.compress(raw[:50_000]) + gzip.compress(raw[50_000:]))]
+    df = spark.createDataFrame([(n, c, n) for n, c in files for _ in range(2)], "path string, content binary, record_id string")
+    rows = warc.convert_archives(df).collect()
+    by = {n: [r for r in rows if r["archive"] == n] for n, _ in files}
+    want = [bytes(r["record"]) for r in warc.convert_archives(spark.createDataFrame([("two", raw)], "path string, content binary")).collect()]
+    assert [bytes(r["record"]) for r in by["two"]] == want * 2  # an archive that comes twice is converted twice
+    for n in ("cut", "broken"):
+        assert 2 < len(by[n]) / 2 < 9 and by[n][-1]["truncated"] == "length"
+        assert [bytes(r["record"]) for r in by[n][: len(by[n]) // 2 - 1]] == want[: len(by[n]) // 2 - 1]
+    assert by["noise"] == [] and len(by["junk"]) == 18
+    assert [r["skipped"] for r in by["junk"][:9]] == [0, 0, 0, 0, 19, 0, 0, 0, 0]
+
+
 def test_pages_odd(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>"), (2, None, "x"), (None, "http://b/", None), (3, " ", "x"), (1, "http://a/", "<p>")], "page_id long, url string, html string")
     got = warc.convert_archives(warc.pack_pages(pages)).where("warc_type = 'response'").collect()
@@ -556,6 +759,13 @@ def test_token_store(spark, odd, none, tmp_path):
         ids = store.get(key)
         assert bpe.encoder().decode_block(ids.astype(np.int64), np.array([0, len(ids)]))[0].tobytes().decode() in options
     assert store.get(0) is None and store.get(12345) is None and rows.count() == len(texts)
+    asked = [10, None, 5, 12345, 5, 9]
+    got = store.get_many(asked)
+    assert [None if x is None else x.tolist() for x in got] == [None if k is None or k == 12345 else store.get(k).tolist() for k in asked]
+    keys = spark.createDataFrame([(k, "x") for k in asked] * 3, "doc_id long, token_ids string")
+    read = [(r["doc_id"], r["token_ids"]) for r in tokenstore.read_token_store(spark, folder, keys).collect()]
+    assert sorted(map(repr, read)) == sorted(repr((k, None if x is None else x.tolist())) for k, x in zip(asked, got) for _ in range(3))
+    assert tokenstore.read_token_store(spark, folder, keys.limit(0)).count() == 0
     assert tokenstore.token_store(none).count() == 0
 
 
@@ -566,6 +776,7 @@ def test_pretokens_are_those_of_the_pattern():
 
 
 def test_pipeline(spark):
+    """Each stage against a brute-force version over the stage before it."""
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
@@ -575,9 +786,51 @@ def test_pipeline(spark):
         kept.append(stage(spark, kept[-1], folder).cache() if name != "byte-level BPE" else stage(spark, kept[-1], folder))
     good, lined, single, mixed, ids = kept[1:]
     assert all(x.columns == docs.columns for x in (good, lined, single, mixed))
-    assert 0 < good.count() < docs.count() and lined.count() == good.count() and single.count() < lined.count()
-    assert {r["doc_id"] for r in mixed.select("doc_id").collect()} == {r["doc_id"] for r in single.select("doc_id").collect()}
-    texts = {r["doc_id"]: r["text"] for r in single.collect()}
+    texts = [{r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, good, lined, single)]
+    # quality rules: the trees, walked by hand elsewhere, say which documents stay
+    model = quality.train_quality_model(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert set(texts[1]) == {r["doc_id"] for r in quality.score_quality(docs, model).collect() if r["keep"]} and 0 < len(texts[1]) < len(texts[0])
+    # near duplicates by all pairs of fingerprints
+    def groups(texts):
+        names = list(texts)
+        fp, has = simhash.fingerprints(pa.array([texts[i] for i in names], pa.string()))
+        root = {i: i for i in names}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for x, i in enumerate(names):
+            near = np.bitwise_count(fp[:x] ^ fp[x]).sum(1) <= 32 if has[x] else []
+            for y in np.flatnonzero(near):
+                if has[y]:
+                    a, b = sorted((find(i), find(names[y])))
+                    root[b] = a
+        return {i: find(i) for i in names}
+
+    copies = {i: g for i, g in groups(texts[1]).items() if i != g}
+    removed = {k for k, v in lines_by_search(texts[1], copies).items() if v[2]}
+    assert removed and texts[2] == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in removed) for i, t in texts[1].items()}
+    assert set(texts[3]) == {i for i, g in groups(texts[2]).items() if i == g} and len(texts[3]) < len(texts[2])
+    # mixing, slot by slot
+    hashed = single.select("source", F.xxhash64(F.lit(17), *single.columns).alias("x"), "doc_id").collect()
+    want = [row for row, *_ in sorted(mixed_by_loop(hashed, 16, 1), key=lambda r: r[4])]
+    order = [r["doc_id"] for r in mixed.collect()]
+    assert order == want and set(order) == set(texts[3])
     back = bpe.decode_documents(ids).collect()
-    assert len(back) == mixed.count() and all(texts[r["doc_id"]] == r["text"] for r in back)
-    assert corpus_pipeline.run(spark, folder).agg(F.sum("n_tokens")).first()[0] == ids.agg(F.sum("n_tokens")).first()[0]
+    assert len(back) == len(order) and all(texts[3][r["doc_id"]] == r["text"] for r in back)
+    whole = corpus_pipeline.run(spark, folder).orderBy("mix_position").select("doc_id", "n_tokens").collect()
+    assert [r["doc_id"] for r in whole] == order and sum(r["n_tokens"] for r in whole) == ids.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, odd):
+    import corpus_pipeline
+
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, df in (("odd", plain), ("none", plain.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert all(r["round_trip"] for r in rows) and (len(rows) > 0) == (name == "odd")
