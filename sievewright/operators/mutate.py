@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.compare import differs
 from ..functions.rows import first_by_keys, foreign_keys, sanitize_keys, update_payload
 from ..model import LinkDef, ModelDef, Registry, RelationDef, UnknownField
-from ..plans.graph import link_pairs
+from ..plans.graph import link_pairs, related_rows
 from ..runtime.control import in_parallel, with_retry
 from ..runtime.lineage import cut
 from .query import ROOT, EntityQuery
@@ -45,6 +45,7 @@ class Change:
     id_fields: tuple[str, ...]
     removed: DataFrame | None = None  # (n): incoming rows that a later one with the same key replaced
     incoming_links: Mapping[str, DataFrame] = field(default_factory=dict)  # by link: (__order, target)
+    related: Mapping[str, Sequence[Mapping[str, object]]] = field(default_factory=dict)  # rows of other models that came along
     after: tuple[Callable, ...] = ()
     name: str = "change"
 
@@ -105,9 +106,14 @@ class Mutations:
     def apply(self, change: Change) -> Change:
         """Computes and stores the change, binds its snapshot and those of its links, and runs the hooks that come after.
 
+        Rows of related models that came along with the items are created first; those whose keys exist are left as they are.
+
         Nothing is bound if any of it fails; attempts are repeated where an error may pass.
         """
         registry, config = self.registry, self.registry.config
+        for name, rows in change.related.items():
+            other = Mutations(registry, name)
+            other.apply(other.create_many(rows))
         with registry.metrics.timed(change.name, self.model.name) as found:
             registry.throttle()
             change = with_retry(change.stored, config.retries)
@@ -131,14 +137,22 @@ class Mutations:
         """
         return self._incoming(items, order, False)[0]
 
-    def _incoming(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None, links: bool) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """Rows, and by link (__order, target)."""
+    def _incoming(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None, links: bool) -> tuple[DataFrame, dict[str, object]]:
+        """Rows, and what else a change needs to know of them: links and related rows."""
         if not isinstance(items, DataFrame):
-            parts = [link_pairs(self.model, sanitize_keys(x)) for x in items]
-            rows = self.registry.rows(self.model.name, [foreign_keys(rest, self.foreign_key) for rest, _ in parts])
+            parts, related, clean = [], {}, []
+            for x in items:
+                rest, own, new = link_pairs(self.model, sanitize_keys(x))
+                rest, made = related_rows(self.model, rest)
+                parts.append(own)
+                clean.append(foreign_keys(rest, self.foreign_key))
+                for name, rows in [*made.items(), *(new.items() if links else ())]:
+                    related.setdefault(name, []).extend(rows)
+            rows = self.registry.rows(self.model.name, clean)
             if not links:
-                return rows, {}
-            return rows, {x.name: self._link_rows(x, [(n, t) for n, (_, own) in enumerate(parts) for t in own.get(x.name, ())]) for x in self.model.links if any(x.name in own for _, own in parts)}
+                return rows, {"related": related}
+            pairs = {x.name: self._link_rows(x, [(n, t) for n, own in enumerate(parts) for t in own.get(x.name, ())]) for x in self.model.links if any(x.name in own for own in parts)}
+            return rows, {"related": related, "incoming_links": pairs}
         linked = [x for x in self.model.links if x.name in items.columns]
         unknown = [c for c in items.columns if c not in self.names and c not in _BOOK and c not in [x.name for x in linked]]
         if unknown:
@@ -155,7 +169,7 @@ class Mutations:
             own = F.explode(x.name)
             target = items.select(nth.alias(_ORDER), own.alias("t"))
             pairs[x.name] = target.select(_ORDER, (F.col("t.id") if isinstance(element, T.StructType) else F.col("t")).alias("target"))
-        return rows, pairs
+        return rows, {"incoming_links": pairs}
 
     def _link_rows(self, link: LinkDef, pairs: list[tuple[int, object]]) -> DataFrame:
         kind = self.registry.model(link.table).field_named(link.target_key).type
@@ -240,7 +254,7 @@ class Mutations:
         """
         keys = self.model.unique_constraints()
         thin = items if isinstance(items, DataFrame) else first_by_keys([sanitize_keys(x) for x in items], keys)
-        rows, pairs = self._incoming(thin, order, links)
+        rows, more = self._incoming(thin, order, links)
         if isinstance(items, DataFrame):
             for key in keys:
                 full = _all(F.col(k).isNotNull() for k in key)
@@ -257,7 +271,7 @@ class Mutations:
                 rows = rows.join(old.distinct(), match, "left").where(F.when(first.isNotNull(), error).otherwise(True)).drop(*old.columns)
         made = rows.select(*(c.alias(n) for n, c in self._fresh_columns().items()), F.lit(CREATED).alias(_STATUS), F.col("_ord").alias(_ORDER))
         kept = self.target.select(*self.names, F.lit(None).cast("string").alias(_STATUS), F.lit(None).cast(made.schema[_ORDER].dataType).alias(_ORDER))
-        return self._change(kept.unionByName(made), incoming_links=pairs, name="create")
+        return self._change(kept.unionByName(made), **more, name="create")
 
     def classify(self, items: DataFrame | Iterable[Mapping[str, object]], key: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
         """(fields.., status) of the rows that count."""
@@ -277,19 +291,19 @@ class Mutations:
         key = self._key(key)
         for hook in self.before:
             hook(self.model.name, items)
-        rows, pairs = self._incoming(items, order, links)
+        rows, more = self._incoming(items, order, links)
         full = _all(F.col(k).isNotNull() for k in key)
         replaced = rows.where(full).agg((F.count("*") - F.count_distinct(F.struct(*key))).alias("n"))
-        return self._change(self._merge(self.last_wins(rows, key), key, True), removed=replaced, incoming_links=pairs, after=self.after, name="upsert")
+        return self._change(self._merge(self.last_wins(rows, key), key, True), removed=replaced, **more, after=self.after, name="upsert")
 
     # -- update, delete ---------------------------------------------------------------------------
 
     def update_many_by_id(self, items: DataFrame | Iterable[Mapping[str, object]], order: str | None = None) -> Change:
         """Writes provided values into rows of the same identity; the last of a repeated id wins, unknown ids do nothing."""
         key = self._key(self.model.id_fields)
-        rows = self.incoming(items if isinstance(items, DataFrame) else [update_payload(x, self.model.created_at) for x in items], order)
+        rows, more = self._incoming(items if isinstance(items, DataFrame) else [update_payload(x, self.model.created_at) for x in items], order, False)
         rows = self.last_wins(rows.where(_all(F.col(k).isNotNull() for k in key)), key)
-        return self._change(self._merge(rows, key, False), name="update")
+        return self._change(self._merge(rows, key, False), **more, name="update")
 
     def _matching(self, base: Mapping[str, object] | None, search: object) -> Column:
         found = EntityQuery(self.registry, self.model.name).predicate(base, search)

@@ -96,15 +96,43 @@ def join_table(registry: Registry, model: ModelDef, name: str) -> dict[str, obje
     return {"table": link.table, "source_key": link.source_key, "target_key": link.target_key, "extras": [f.name for f in table.fields if f.name not in (link.source_key, link.target_key)]}
 
 
-def link_pairs(model: ModelDef, item: Mapping[str, object]) -> tuple[dict[str, object], dict[str, list]]:
-    """An item without its declared links, and the links' target ids: from a list of ids, of {id}, or {connect: such a list}."""
-    rest, links = {}, {}
+def link_pairs(model: ModelDef, item: Mapping[str, object]) -> tuple[dict[str, object], dict[str, list], dict[str, list]]:
+    """An item without its declared links, the links' target ids, and the rows to create by target model.
+
+    A link is a list of ids, of {id} or of whole rows, or {connect: such a list, create: rows}; rows bring their ids.
+    """
+    rest, links, made = {}, {}, {}
     for k, v in item.items():
-        if model.link_named(k) is None:
+        link = model.link_named(k)
+        if link is None:
             rest[k] = v
             continue
-        if isinstance(v, Mapping):
-            v = v.get("connect", v)
-        v = v if isinstance(v, (list, tuple)) else [v]
-        links[k] = [x["id"] if isinstance(x, Mapping) else x for x in v if x is not None]
-    return rest, links
+        new = []
+        if isinstance(v, Mapping) and v.keys() & {"connect", "create"}:
+            new = _listed(v.get("create"))
+            v = _listed(v.get("connect"))
+        given = _listed(v)
+        whole = [x for x in given if isinstance(x, Mapping) and x.keys() != {"id"}]
+        links[k] = [x["id"] if isinstance(x, Mapping) else x for x in [*given, *new]]
+        if new or whole:
+            made.setdefault(link.target, []).extend([*new, *whole])
+    return rest, links, made
+
+
+def _listed(v: object) -> list:
+    return [x for x in (v if isinstance(v, (list, tuple)) else [v]) if x is not None]
+
+
+def related_rows(model: ModelDef, item: Mapping[str, object]) -> tuple[dict[str, object], dict[str, list]]:
+    """An item whose to-one relations are keys, and the rows to create by target model: a relation given as {create: row}, or as a row."""
+    rest, made = dict(item), {}
+    for k, v in item.items():
+        r = model.relation_named(k)
+        if r is None or r.is_list or not isinstance(v, Mapping) or "connect" in v or v.keys() == {"id"}:
+            continue
+        row = v.get("create", v)
+        made.setdefault(r.target, []).append(row)
+        del rest[k]
+        for own, other in zip(r.local, r.remote):
+            rest.setdefault(own, row[other])
+    return rest, made

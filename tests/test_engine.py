@@ -99,6 +99,16 @@ def test_foreign_keys_by_relation_and_template(blog):
     assert rows[0]["fk_writer"] == 5
 
 
+def test_related_rows_are_created_along(blog, school):
+    m = Mutations(blog, "Post")
+    m.apply(m.create_many([{"id": 20, "author": {"create": {"id": 9, "name": "New"}}}, {"id": 21, "author": {"id": 3, "name": "There already"}}]))
+    assert {r["id"]: r["authorId"] for r in blog.df("Post").where("id >= 20").collect()} == {20: 9, 21: 3}
+    assert {r["id"]: r["name"] for r in blog.df("User").where("id in (3, 9)").collect()} == {3: "Carla", 9: "New"}
+    s = Mutations(school, "Subject")
+    s.apply(s.upsert_many([{"id": 30, "name": "Law", "areas": {"connect": [1], "create": [{"id": 7, "name": "Rules"}]}}, {"id": 31, "name": "Ethics", "areas": [{"id": 8, "name": "Duties"}, 2]}]))
+    assert [p for p in pairs(school) if p[0] >= 30] == [(30, 1), (30, 7), (31, 2), (31, 8)] and ids(school.df("Area")) == [1, 2, 3, 7, 8]
+
+
 def test_upsert_is_one_join_and_one_scan(spark, tmp_path):
     folder = str(tmp_path / "t")
     frame(spark, AREA, [(i, str(i)) for i in range(50)]).write.parquet(folder)
@@ -273,6 +283,14 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert read_text(spark, f"{folder}/x") == "two" and read_text(spark, f"{folder}/none") is None
 
 
+def test_database_tables(spark):
+    options = {"url": "jdbc:derby:memory:tables;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    frame(spark, AREA, [(1, "Maths"), (2, "Arts")]).write.format("jdbc").options(**options, dbtable="AREA").save()
+    df = read_table(spark, "AREA", "jdbc", **options)
+    r = Registry().add(AREA, df.toDF("id", "name"))
+    assert ids(EntityQuery(r, "Area").find(search={"field": "id", "gte": 2})) == [2]
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
 def test_formats(spark, tmp_path, kind):
     path = f"{tmp_path}/t.{kind}"
