@@ -135,7 +135,8 @@ def mix_sources(
     names may occur, as rows travel as one struct.
 
     Ranks come from counts of hash buckets of about ``bucket_rows`` rows, so a large source is spread over many tasks. The
-    schedule is a table with a row for each block, made in one task, and goes to the buckets; nothing is broadcast by plan.
+    schedule is a table with a row for each block, made in one task, and goes to the buckets; nothing is broadcast by plan. That task
+    takes a few microseconds a slot, as each choice depends on the one before: for billions of rows ``block_rows`` should grow.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_source", "mix_epoch", "mix_block", "mix_slot", "mix_position")
