@@ -369,6 +369,8 @@ def test_ctph_against_all_pairs(spark, odd, none):
     lead = ctph.fingerprint_documents(docs).where("signature <> ''").dropDuplicates(["block_size", "signature", "signature2"]).cache()
     best = [{r["doc_id"]: r["x"] for r in ctph.best_matches(lead, cell_rows=n).groupBy("doc_id").agg(F.min(F.struct(-F.col("score"), "other")).alias("x")).collect()} for n in (2, 1 << 14)]
     assert best[0] == best[1] and len(best[0]) > 10
+    two = ctph.fingerprint_matches(spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[25]), (3, texts[28])], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["match_id"]) for r in two if r["doc_id"] > 1) == [(2, 1), (3, 1)] and len(two) == 4
     rows = ctph.fingerprint_matches(odd).collect()
     by = {r["doc_id"]: r for r in rows}
     assert by[5]["match_id"] == 6 and by[1]["signature"] == "" and 0 not in by and None not in by
