@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .runtime.control import EngineConfig, TokenBucket
+from .runtime.control import EngineConfig, TokenBucket, with_retry
+from .runtime.lineage import cut
 from .runtime.metrics import Metrics
+from .sources.tables import write_snapshot
 
 
 class UnknownModel(KeyError):
@@ -153,6 +155,15 @@ class Registry:
         """Waits until another action may start."""
         self._bucket.acquire()
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df computed once and written where all executors can read it; attempts are repeated where an error may pass."""
+
+        def write() -> DataFrame:
+            folder = self.config.snapshot_folder
+            return df.sparkSession.read.parquet(write_snapshot(df, folder)) if folder else cut(df)
+
+        return with_retry(write, self.config.retries)
+
     def add(self, model: ModelDef, df: DataFrame | None = None) -> Registry:
         self.models[model.name] = model
         if df is not None:

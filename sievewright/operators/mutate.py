@@ -15,7 +15,7 @@ from ..functions.compare import differs
 from ..functions.rows import first_by_keys, foreign_keys, sanitize_keys, update_payload
 from ..model import LinkDef, ModelDef, Registry, RelationDef, UnknownField
 from ..plans.graph import link_pairs, related_rows
-from ..runtime.control import in_parallel, with_retry
+from ..runtime.control import in_parallel
 from ..runtime.lineage import cut
 from .query import ROOT, EntityQuery
 
@@ -75,9 +75,9 @@ class Change:
         made = self.marked.where(F.col(_STATUS).isin(CREATED, UPDATED)).select(F.col(self.id_fields[0]).alias("source"), _ORDER)
         return made.join(self.incoming_links[name], _ORDER).select("source", "target")
 
-    def stored(self) -> Change:
-        """The same, computed once and kept in the shared folder: no more of its plan is carried on, and times stand still."""
-        return replace(self, marked=cut(self.marked))
+    def stored(self, registry: Registry) -> Change:
+        """The same, computed once and kept: no more of its plan is carried on, and times stand still."""
+        return replace(self, marked=registry.kept(self.marked))
 
 
 class Mutations:
@@ -110,17 +110,17 @@ class Mutations:
 
         Nothing is bound if any of it fails; attempts are repeated where an error may pass.
         """
-        registry, config = self.registry, self.registry.config
+        registry = self.registry
         for name, rows in change.related.items():
             other = Mutations(registry, name)
             other.apply(other.create_many(rows))
         with registry.metrics.timed(change.name, self.model.name) as found:
             registry.throttle()
-            change = with_retry(change.stored, config.retries)
+            change = change.stored(registry)
             tables = {}
             for name in change.incoming_links:
                 link = self._link(name)
-                tables[link.table] = cut(self.apply_links(name, change.links(name)))
+                tables[link.table] = registry.kept(self.apply_links(name, change.links(name)))
             found["rows"] = change.rows.count()
         registry.bind(self.model.name, change.snapshot)
         for name, df in tables.items():
@@ -404,7 +404,7 @@ class Mutations:
         with registry.metrics.timed("cascade", self.model.name):
             found = self.delete_cascading(change)
             registry.throttle()
-            done, failed = in_parallel(lambda n: (n, with_retry(lambda: cut(found[n]), config.retries)), found, config.concurrency if config.parallel and not registry.in_transaction else 1)
+            done, failed = in_parallel(lambda n: (n, registry.kept(found[n])), found, config.concurrency if config.parallel and not registry.in_transaction else 1)
         if failed:
             raise failed[0][1]
         for name, df in done:

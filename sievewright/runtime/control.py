@@ -26,7 +26,8 @@ class EngineConfig:
     ``insensitive_search``, ``list_limit`` and ``strict_nested`` are the compiler's, ``compare`` is that of upserts. ``before`` and
     ``after`` are hooks (model, items or change) of every upsert, run before a call's own. Actions that start Spark jobs wait for
     their turn at ``max_queries_per_second``, and snapshots are written with ``retries`` further attempts. ``parallel`` lets several
-    tables be written at once, at most ``concurrency`` of them; a transaction doesn't.
+    tables be written at once, at most ``concurrency`` of them; a transaction doesn't. Below ``snapshot_folder`` snapshots are kept as
+    Parquet, which later scans prune and skip in, until someone removes them; without one they are checkpoints in the shared folder.
     """
 
     insensitive_search: bool = True
@@ -37,6 +38,7 @@ class EngineConfig:
     concurrency: int = 4
     parallel: bool = True
     retries: int = 3
+    snapshot_folder: str | None = None
     before: tuple[Hook, ...] = ()
     after: tuple[Hook, ...] = ()
 

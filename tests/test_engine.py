@@ -247,6 +247,16 @@ def test_settings_reach_the_engine(spark, blog):
             EngineConfig(**bad)
 
 
+def test_snapshots_as_parquet(spark, blog, tmp_path):
+    r = Registry(blog.models, blog.snapshots, EngineConfig(snapshot_folder=str(tmp_path / "snapshots")))
+    m = Mutations(r, "User")
+    m.apply(m.upsert_many([{"id": 1, "name": "Anna"}, {"id": 8, "name": "New"}]))
+    m.apply_cascading(m.delete_by_ids([3]))
+    assert {x["id"]: x["name"] for x in r.df("User").collect()}[1] == "Anna" and ids(r.df("Comment")) == [4]
+    plan = r.df("Comment")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Join" not in plan and len(list((tmp_path / "snapshots").iterdir())) == 4
+
+
 def test_transaction_publishes_together(blog):
     m, p = Mutations(blog, "User"), Mutations(blog, "Post")
     before = dict(blog.snapshots)
