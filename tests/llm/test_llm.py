@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -555,10 +556,19 @@ def lines_by_search(texts, copies=None):
     """{(document, line number): (first, copies, removed)} by comparing all lines."""
     copies = copies or {}
     lines = [(i, n, x) for i, t in texts.items() for n, x in enumerate((t or "").split("\n")) if x]
-    out = {}
+    out, kinds = {}, {x: Counter(x.encode()) for _, _, x in lines}
+    known = {}
+
+    def near(x, y):
+        b, c = x.encode(), y.encode()
+        if min(len(b), len(c)) < 20 or abs(len(b) - len(c)) > 2:
+            return False
+        if (x, y) not in known:  # two edits change four counts of bytes at most
+            known[x, y] = known[y, x] = (kinds[x] - kinds[y]).total() + (kinds[y] - kinds[x]).total() <= 4 and edits(b, c) <= 2
+        return known[x, y]
+
     for i, n, x in lines:
-        b = x.encode()
-        mine = [(j in copies, j, m) for j, m, y in lines if x == y or (min(len(b), len(y.encode())) >= 20 and abs(len(b) - len(y.encode())) <= 2 and edits(b, y.encode()) <= 2)]
+        mine = [(j in copies, j, m) for j, m, y in lines if x == y or near(x, y)]
         if len(mine) > 1:
             out[i, n] = min(mine), len(mine)
     final = {}
