@@ -32,6 +32,10 @@ def _any(parts: Iterable[Column]) -> Column:
     return reduce(operator.or_, parts, F.lit(False))
 
 
+def _spread(key: Sequence[Column], by: Sequence[Column]) -> Column:
+    return F.when(_any(k.isNull() for k in key), F.xxhash64(*by)).otherwise(0)
+
+
 _STATUS, _ORDER = "__status", "__order"
 
 
@@ -225,10 +229,16 @@ class Mutations:
         """Target and rows joined once, marked: rows that match take the provided values if these differ; others are inserted, or left out.
 
         The join reads the target once. Without inserts it is a left join, which lets a small side be broadcast by its measured size.
+        Rows with a null in the key match nothing, but a full join keeps them: they are spread by a hash, or one task would get them all.
         """
         old = self.target.withColumn("__there", F.lit(True))
         new = self._renamed(rows)
-        joined = old.join(new, _all(old[k] == new[_NEW + k] for k in key), "full" if insert else "left")
+        match = [(k, _NEW + k) for k in key]
+        if insert and not all(self.model.field_named(k).required for k in key):
+            old = old.withColumn("__spread", _spread([F.col(k) for k in key], [F.col(k) for k in self.model.id_fields]))
+            new = new.withColumn(f"{_NEW}_spread", _spread([F.col(_NEW + k) for k in key], [F.col(f"{_NEW}_ord")]))
+            match.append(("__spread", f"{_NEW}_spread"))
+        joined = old.join(new, _all(old[a] == new[b] for a, b in match), "full" if insert else "left")
         came, there = F.col(f"{_NEW}_present").isNotNull(), F.col("__there").isNotNull()
         changed = came & there & self._changed(key)
         fresh = self._fresh_columns(_NEW)
