@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages, each a whole operator applied to all that the stage before it kept.
 
-ORACLE_SQL is None: scores of boosted trees, SimHash groups and BPE merges aren't SQL. test_pipeline checks columns, row
-counts, ids and the round trip of the texts; the rows of the stages aren't held against brute-force versions.
+ORACLE_SQL is None: scores of boosted trees, SimHash groups and BPE merges aren't SQL. test_pipeline holds each stage's rows against a
+brute-force version over the stage before it: scores, all pairs of lines and of fingerprints, the schedule slot by slot, the round trip.
 """
 
 from __future__ import annotations
