@@ -208,7 +208,8 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
     chosen = cut(known.orderBy(F.xxhash64("__id"), "__id").limit(max_train_rows))
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col("__id").alias("doc_id"), F.col(text_col).alias("text"), "__label")
+    thin = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("text"))  # docs may have columns of any name
+    sample = thin.join(F.broadcast(chosen), thin["__key"] == chosen["__id"]).select(F.col("__id").alias("doc_id"), "text")
     both = document_statistics(sample).join(F.broadcast(chosen.withColumnRenamed("__id", "doc_id")), "doc_id").select("statistics", "__label").toPandas()
     if not len(both):
         return train_trees(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -128,6 +128,19 @@ def test_simhash_odd(odd, none):
     assert simhash.near_duplicate_groups(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_clashing_names(spark):
+    t = "\n".join(prose(random.Random(k), 60) for k in (3, 4))
+    docs = spark.createDataFrame([(1, t), (2, t), (3, "other words here")], "doc_id long, text string")
+    for c in ("__gone", "__text", "__again", "group_id", "node", "f0", "t", "d1", "row", "id", "gone", "h", "lang", "source", "first"):
+        docs = docs.withColumn(c, F.lit(c))
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+    lined = linededup.drop_repeated_lines(docs)
+    assert lined.columns == docs.columns and {r["doc_id"]: r["text"] for r in lined.collect()} == {1: t, 2: "", 3: "other words here"}
+    mixed = mixing.in_mixed_order(docs)
+    assert mixed.columns == docs.columns and {r["gone"] for r in mixed.collect()} == {"gone"}
+    assert ctph.fingerprint_matches(docs).count() == bpe.encode_documents(docs).count() == langid.identify_languages(docs).count() == tokenstore.token_store(docs).count() == 3
+
+
 def test_simhash_loses_no_text_of_a_repeated_id(spark):
     t, u = prose(random.Random(1), 40), prose(random.Random(2), 40)
     docs = spark.createDataFrame([(1, t), (2, t), (2, u), (3, u)], "doc_id long, text string")
@@ -392,6 +405,9 @@ def test_quality(spark, odd, none):
     kept = quality.drop_poor_documents(odd, model)
     assert kept.columns == odd.columns and kept.where("text IS NULL OR trim(text) = ''").count() == 0
     assert quality.drop_poor_documents(none, model).count() == 0
+    clash = docs.withColumn("__id", F.lit(1)).withColumn("__label", F.lit(0)).withColumn("statistics", F.lit("x")).withColumn("score", F.lit(7))
+    again = quality.train_quality_model(clash, labels)
+    assert (again.value == model.value).all() and quality.drop_poor_documents(clash, again).columns == clash.columns
     empty = quality.train_quality_model(none, labels)
     assert len(empty.value) == 0 and quality.score_quality(docs, empty).count() == 240
 
