@@ -345,9 +345,13 @@ class Mutations:
         return self._deleted(self.target.alias(ROOT).withColumn("__hit", self._matching(base, search)))
 
     def delete_by_ids(self, ids: DataFrame | Iterable[object]) -> Change:
-        """Without the rows of these ids: a DataFrame of the identity's columns, or values of a single one."""
+        """Without the rows of these ids: a DataFrame of the identity's columns, or values of a single one. Null ids delete nothing."""
         names = list(self.model.id_fields)
         if not isinstance(ids, DataFrame):
+            ids = list(ids)
+            if len(names) == 1 and len(ids) <= self.registry.config.list_limit:  # few enough for a predicate, which needs no join
+                few = [x[0] if isinstance(x, tuple) else x for x in ids]
+                return self._deleted(self.target.withColumn("__hit", F.coalesce(F.col(names[0]).isin(*[x for x in few if x is not None]), F.lit(False))))
             kind = self.target.select(*names).schema
             ids = self.target.sparkSession.createDataFrame([x if isinstance(x, tuple) else (x,) for x in ids], kind)
         gone = ids.select(*names).distinct().withColumn("__gone", F.lit(True))

@@ -141,9 +141,12 @@ class EntityQuery:
         order = target.id_fields or tuple(f.name for f in target.fields if f.name in rows.columns and _ordered(f.type))
         remote = [F.col(r).alias(k) for r, k in zip(relation.remote, keys)]
         if relation.is_list:
-            pair = F.struct(F.struct(*order).alias("order"), F.struct(*names).alias("row"))
-            sorted_pairs = F.array_sort(F.collect_list("pair"))
-            packed = rows.select(*remote, pair.alias("pair")).groupBy(*keys).agg(F.transform(sorted_pairs, lambda p: p["row"]).alias(relation.name))
+            if list(order) == names:  # the row is its own order
+                packed = rows.select(*remote, F.struct(*names).alias("row")).groupBy(*keys).agg(F.array_sort(F.collect_list("row")).alias(relation.name))
+            else:
+                pair = F.struct(F.struct(*order).alias("order"), F.struct(*names).alias("row"))
+                sorted_pairs = F.array_sort(F.collect_list("pair"))
+                packed = rows.select(*remote, pair.alias("pair")).groupBy(*keys).agg(F.transform(sorted_pairs, lambda p: p["row"]).alias(relation.name))
         else:
             packed = rows.select(*remote, F.struct(*names).alias(relation.name))
         match = reduce(lambda a, b: a & b, [df[a] == packed[k] for a, k in zip(relation.local, keys)])

@@ -180,6 +180,10 @@ def test_single_rows(blog):
     assert sorted((r["id"], r["title"], r["authorId"]) for r in blog.df("Post").where("id > 8").collect()) == [(9, "newer", 2), (10, "made", None)]
     m.apply(m.delete(9))
     assert 9 not in ids(blog.df("Post"))
+    large = Mutations(Registry(blog.models, blog.snapshots, EngineConfig(list_limit=1)), "Post")
+    for x in (m, large):
+        assert ids(x.delete_by_ids([1, None, 10, 77]).snapshot) == [2, 3] and ids(x.delete_by_ids([(2,)]).rows) == [2]
+        assert x.delete_by_ids([]).snapshot.count() == 4
     query = EntityQuery(blog, "Post")
     assert query.probe({"id": 10})["title"] == "made" and query.probe({"id": 99}) is None and query.probe({"id": None}) is None
     assert query.only_one({"title": "made"})["id"] == 10 and query.only_one({"title": "zz"}) is None
