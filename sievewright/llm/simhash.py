@@ -1,4 +1,4 @@
-"""SimHash near-duplicate groups found by a range join in the space of segment popcounts."""
+"""SimHash near-duplicate groups: an exact join within a Hamming distance by parts of bits, or a sampled one over segment popcounts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import meet_in_cells, strips
+from .cells import meet_in_cells, strips, whole_runs
 from .components import connected_components
 from .lineage import cut
 from .textblocks import blocks, mix64, segment_sum, string_buffers, words
@@ -190,7 +191,7 @@ def _links_in_cells(cols: list[np.ndarray], half: np.ndarray, limit: int, masks:
 
 
 def near_links(unique: DataFrame, max_distance: int, grid_count: int, grid_segments: int, cell_rows: int = 1 << 14) -> DataFrame:
-    """(a, b, n) among rows (doc_id, f0..f3) of different fingerprints; the range join.
+    """(a, b, n) among rows (doc_id, f0..f3) of different fingerprints; a sampled join (``all_links`` is the exact one).
 
     Each row is placed in ``grid_count`` grids; a shuffle brings the rows of a cell together, and all of its pairs are verified.
     Pairs (a, b) span each cell's near pairs, no more of them than rows; the n of a row sum up to the near rows it has.
@@ -208,13 +209,158 @@ def near_links(unique: DataFrame, max_distance: int, grid_count: int, grid_segme
     return meet_in_cells(placed.select("cell", "grid", "doc_id", *_FP), compare, ("a", "b", "n"), cell_rows)
 
 
+# --- all pairs, exactly ------------------------------------------------------------------------
+#
+# Cut a fingerprint's bits into m parts and give part i a tolerance t_i so that the t_i + 1 add up to d + 1: two fingerprints
+# that differ in more than t_i bits of every part differ in over d bits. So each pair within d bits is found by looking up, for
+# some part, the values within its tolerance. That holds for any pair and any number of parts; m decides on cost only.
+
+Part = tuple[int, int, int]  # first bit, bits, tolerance
+_WIDEST = 22  # bits of a part that are looked up; a tolerance holds for fewer of its bits as well
+
+
+@lru_cache
+def _flips(bits: int, tolerance: int) -> np.ndarray:
+    """All masks of so many bits with no more than ``tolerance`` of them set."""
+    masks = [sum(1 << b for b in on) for k in range(min(bits, tolerance) + 1) for on in combinations(range(bits), k)]
+    return np.array(masks, np.int64)
+
+
+def _parts(limit: int, count: int) -> list[Part]:
+    most, more = divmod(limit + 1, count)
+    ends = [BITS * i // count for i in range(count + 1)]
+    widest = sorted(range(count), key=lambda i: ends[i] - ends[i + 1])
+    spare = set(widest[:more])
+    return [(ends[i], min(ends[i + 1] - ends[i], _WIDEST), most - (i not in spare)) for i in range(count)]
+
+
+@lru_cache
+def parts_for(limit: int, x: int, y: int) -> list[Part]:
+    """The parts by which so many rows are looked up among so many others at least cost; one of no bits, so that all pairs are compared, where that is least."""
+    best, least = [(0, 0, 0)], 8.0 * x * y
+    for count in range(1, min(limit + 1, BITS) + 1):
+        found, cost = _parts(limit, count), 0.0
+        for _, bits, tolerance in found:
+            flips = sum(math.comb(bits, k) for k in range(min(bits, tolerance) + 1))
+            cost += 6.0 * flips * y + 24.0 * flips * x * y / 2**bits + 4.0 * 2**bits + 20_000.0 * flips + 200.0 * (x + y)
+        if cost < least:
+            best, least = found, cost
+    return best
+
+
+def _value(words: np.ndarray, part: Part) -> np.ndarray:
+    """The bits of a part of fingerprints (4, n)."""
+    at, shift = divmod(part[0], 64)
+    value = words[at] >> np.uint64(shift)
+    if shift + part[1] > 64:
+        value = value | words[at + 1] << np.uint64(64 - shift)
+    return (value & np.uint64((1 << part[1]) - 1)).astype(np.int64)
+
+
+def _near(x: np.ndarray, y: np.ndarray, limit: int, parts: list[Part], rows: int = 1 << 15, budget: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with x[:, i] and y[:, j] of (4, n) fingerprints within ``limit`` bits, each once."""
+    for p, part in enumerate(parts):
+        kx, ky = _value(x, part), _value(y, part)
+        by_x, by_y = np.argsort(kx, kind="stable"), np.argsort(ky, kind="stable")
+        start = np.zeros((1 << part[1]) + 1, np.int32)
+        np.cumsum(np.bincount(kx, minlength=1 << part[1]), out=start[1:])
+        for k in range(0, len(ky), rows):
+            own = by_y[k : k + rows]
+            values = ky[own]
+            for flip in _flips(part[1], part[2]):
+                at = values ^ flip
+                first = start[at]
+                many = start[at + 1] - first
+                hit = np.flatnonzero(many)
+                if not len(hit):
+                    continue
+                total = np.concatenate([[0], np.cumsum(many[hit], dtype=np.int64)])
+                done = 0
+                while done < len(hit):
+                    stop = max(done + 1, int(np.searchsorted(total, total[done] + budget, "right")) - 1)
+                    some, n = hit[done:stop], many[hit[done:stop]]
+                    i = by_x[np.repeat(first[some] - (total[done:stop] - total[done]), n) + np.arange(total[stop] - total[done])]
+                    j = np.repeat(own[some], n)
+                    done = stop
+                    far = np.zeros(len(i), np.uint16)
+                    for word in range(WORDS64):
+                        far = far + np.bitwise_count(x[word][i] ^ y[word][j])
+                        if word in (1, WORDS64 - 1):
+                            near = far <= limit
+                            i, j, far = i[near], j[near], far[near]
+                    if not len(i):
+                        continue
+                    new = np.ones(len(i), bool)
+                    for q in range(p):
+                        new &= np.bitwise_count(_value(x[:, i], parts[q]) ^ _value(y[:, j], parts[q])) > parts[q][2]
+                    yield i[new], j[new]
+
+
+def _links_of_blocks(half: np.ndarray, ids: np.ndarray, fp: list[np.ndarray], limit: int, hold: int = 1 << 18) -> list[np.ndarray]:
+    """(a, b, n) as ``_links_in_cells`` gives them, of the pairs of one block (half 0) or between two (1 and 2)."""
+    words = np.stack([f.view(np.uint64) for f in fp])
+    n = len(ids)
+    at_x, at_y = (np.flatnonzero(half <= 1), np.flatnonzero((half == 0) | (half == 2)))
+    label, count = np.arange(n), np.zeros(n, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take() -> None:
+        a, b = (np.concatenate(c) for c in zip(*found))
+        _joined(label, a, b)
+        np.add.at(count, a, 1)
+        np.add.at(count, b, 1)
+        found.clear()
+
+    if len(at_x) and len(at_y):
+        held = 0
+        for i, j in _near(words[:, at_x], words[:, at_y], limit, parts_for(limit, len(at_x), len(at_y))):
+            a, b = at_x[i], at_y[j]
+            once = (half[a] > 0) | (a < b)
+            found.append((a[once], b[once]))
+            held += len(a)
+            if held > hold:
+                take()
+                held = 0
+        if found:
+            take()
+    some = np.flatnonzero((label != np.arange(n)) | (count > 0))
+    return [ids[some], ids[label[some]], count[some]]
+
+
+def all_links(unique: DataFrame, max_distance: int, rows: int, block_rows: int = 1 << 20, least_blocks: int = 8) -> DataFrame:
+    """(a, b, n) as ``near_links`` gives them, of every pair of rows (doc_id, f0..f3) of different fingerprints within ``max_distance``.
+
+    Rows are spread over blocks by their fingerprint; each pair of blocks is a task's cell, in which the parts of ``parts_for`` find
+    all pairs. A row is sent once for each block, 48 bytes; blocks become more where they would hold over ``block_rows`` of ``rows``.
+    """
+    blocks = max(least_blocks, -(-rows // block_rows))
+    own = F.pmod(F.xxhash64(*_FP), F.lit(blocks)).cast("int")
+    placed = unique.select("doc_id", *_FP, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    half = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).cast("byte")
+    cells = placed.select((F.least("own", "with") * blocks + F.greatest("own", "with")).alias("cell"), half.alias("half"), "doc_id", *_FP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches):
+            cell, *cols = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            ends = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+            for i, j in zip(ends, ends[1:]):
+                half, ids, *fp = (c[i:j] for c in cols)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _links_of_blocks(half, ids, fp, max_distance))], ["a", "b", "n"])
+
+    return cells.repartition(blocks * (blocks + 1) // 2, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, n long")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, max_distance: int, grid_count: int | None, grid_segments: int | None, cell_rows: int = 1 << 14) -> DataFrame:
     """(doc_id, t, group_id, n_links) of every text with a fingerprint."""
     prints = cut(fingerprint_table(docs, id_col, text_col))
-    grid_segments = grid_segments or segments_for(prints.count())
-    grid_count = grid_count or grids_for(grid_segments, max_distance)
     same = cut(prints.groupBy(*_FP).agg(F.min("doc_id").alias("node")))
-    links = cut(near_links(same.withColumnRenamed("node", "doc_id"), max_distance, grid_count, grid_segments, cell_rows))
+    unique = same.withColumnRenamed("node", "doc_id")
+    if grid_count or grid_segments:
+        grid_segments = grid_segments or segments_for(prints.count())
+        grid_count = grid_count or grids_for(grid_segments, max_distance)
+        links = cut(near_links(unique, max_distance, grid_count, grid_segments, cell_rows))
+    else:
+        links = cut(all_links(unique, max_distance, unique.count()))
     groups = connected_components(links.select("a", "b")).withColumnRenamed("component", "group_id")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").cast("int").alias("n_links"))
     named = same.join(groups, "node", "left").join(counts, "node", "left")
@@ -230,12 +376,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts the different fingerprints that a document's is near to. Word sets ignore ASCII case, order, repetition and
     punctuation; texts without any word match exact copies only.
 
-    Copies with one fingerprint are merged before the join, however many they are. The join is approximate in recall only: a
-    pair is compared where all segments of one of the grids agree, and two fingerprints d bits apart share a given grid's cell
-    with about (1 - d/256)**(2 * grid_segments) chance. Unless they are given, ``grid_segments`` follow from the number of rows
-    (``segments_for``), so that cells don't fill up, and ``grid_count`` from them, so that pairs at ``max_distance`` itself are
-    expected to be found 99 times of 100, nearer ones more often (``grids_for``). The groups need no more than a chain of found
-    pairs. Within a cell all pairs are compared, however many rows it has (``meet_in_cells``).
+    Copies with one fingerprint are merged before the join, however many they are. The join is exact: every pair of different
+    fingerprints within ``max_distance`` is found (``all_links``). Only where ``grid_count`` or ``grid_segments`` are given, a sampled
+    join takes its place: a pair is compared where all segments of one of the grids agree, so some pairs are missed (``grids_for``).
 
     Empty or null texts and rows without id are in no group. Rows that repeat a doc_id with the same text are one document; with
     different texts an id has a row for each group that one of them is in. Other columns are ignored; an empty table gives no rows.

@@ -110,6 +110,45 @@ def test_simhash_recall_at_the_limit(spark):
     assert sum(got.get(i + pairs) == i for i in range(pairs)) >= 0.98 * pairs
 
 
+def test_simhash_finds_every_pair_at_the_limit(spark):
+    rng, pairs = np.random.default_rng(3), 1500
+    fp = rng.integers(-(2**63), 2**63, (pairs, 4)).view(np.uint64)
+    other = fp.copy()
+    for r in range(pairs):
+        for bit in rng.choice(256, 32 + r % 2, replace=False):
+            other[r, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = [(i, i, *map(int, f)) for i, f in enumerate(np.concatenate([fp, other]).view(np.int64))]
+    docs = spark.createDataFrame(rows, "doc_id long, t long, f0 long, f1 long, f2 long, f3 long")
+    table, simhash.fingerprint_table = simhash.fingerprint_table, lambda docs, *_: docs
+    try:
+        got = simhash.near_duplicate_groups(docs).collect()
+    finally:
+        simhash.fingerprint_table = table
+    assert {(r["doc_id"], r["group_id"], r["n_links"]) for r in got} == {(i + at, i, 1) for i in range(0, pairs, 2) for at in (0, pairs)}
+
+
+@pytest.mark.parametrize("limit", [0, 3, 20, 32, 150, 256])
+def test_parts_find_all_pairs(spark, limit):
+    rng = np.random.default_rng(limit)
+    centre = rng.integers(0, 2, (12, 256))
+    bits = np.concatenate([c ^ (rng.random((30, 256)) < rng.random((30, 1)) * 0.15) for c in centre]).astype(np.uint8)
+    fp = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), axis=0)
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=int)
+    want = sorted((i, j) for i, j in np.argwhere(far <= limit) if i < j)
+    words = np.ascontiguousarray(fp.T)
+    for parts in ([(0, 0, 0)], simhash.parts_for(limit, len(fp), len(fp)), *(simhash._parts(limit, n) for n in (11, 16, 33) if limit in (20, 32) and n <= limit + 1)):
+        assert sorted((i, j) for a, b in simhash._near(words, words, limit, parts, 100, 50) for i, j in zip(a, b) if i < j) == want
+    unique = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fp.view(np.int64))], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    count, tied = Counter(), [np.arange(len(fp)), np.arange(len(fp))]
+    for r in simhash.all_links(unique, limit, len(fp), 100).collect():
+        count[r["a"]] += r["n"]
+        tied[0] = np.where(tied[0] == tied[0][r["a"]], tied[0][r["b"]], tied[0])
+    for i, j in want:
+        tied[1] = np.where(tied[1] == tied[1][i], tied[1][j], tied[1])
+    assert len(set(zip(*tied))) == len(set(tied[0])) == len(set(tied[1]))
+    assert {a: n for a, n in count.items() if n} == {i: int(n) for i, n in enumerate((far <= limit).sum(1) - 1) if n}
+
+
 def test_simhash_grids_follow_rows():
     for rows in (1, 10**6, 10**8, 10**10):
         s = simhash.segments_for(rows)
