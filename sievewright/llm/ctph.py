@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cells import strips, whole_runs
+from .cells import whole_runs
+from .components import connected_components, joined
 from .lineage import cut
 from .textblocks import blocks, prefix_hash, span_hash, string_buffers
 
 WINDOW = 8
 LEAST_LEVEL = 3  # the least block size is 2**3 bytes
 WANTED_CHUNKS = 32
-GRAM = 7
+GRAM = 7  # letters in a row that pairs usually must share elsewhere; no condition here, tests tell by it what that would lose
 RUN = 3
 
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -157,108 +159,176 @@ def compare(a: pa.Array, b: pa.Array) -> np.ndarray:
     return 200 * common_letters(a, b) // np.maximum(total, 1)
 
 
-def _starts_of_runs(batches: Iterable[pa.RecordBatch], cell_rows: int, hold: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """(g, before, u, block) of the rows, sorted by (g, before), of grams before which two texts differ.
+# --- all pairs, exactly ------------------------------------------------------------------------
+#
+# Two signatures have no more letters in common than both have. How often a signature has each of the 64 letters is kept in
+# unary, a word for each of the first four times, so that letters both have are the popcount of an AND, and times beyond add no
+# more than the lesser number of these. All pairs of signatures are looked at so; the letters in a row are compared where this
+# bound leaves the score in reach.
 
-    Where all rows of a gram have the same letter before it, the gram one letter earlier brings them together already. A run
-    longer than ``hold`` is handed on as it comes, so that what is held is bounded. ``block`` numbers stretches of ``cell_rows``.
-    """
-    kept: list[np.ndarray] | None = None
-    gone, handed = 0, False  # rows of the run at hand that were handed on
-    for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(3)]
-        if not len(cols[0]):
-            continue
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols)]
-        yield from _handed(cols, gone, handed, cell_rows, whole=False)
-        g = cols[0]
-        at = int(np.searchsorted(g, g[-1]))
-        if at:
-            gone, handed = 0, False
-        kept = [x[at:] for x in cols]
-        if len(kept[0]) > hold:
-            yield _blocked([x[handed:] for x in kept], np.arange(gone + handed, gone + len(kept[0])), cell_rows)
-            gone, handed = gone + len(kept[0]) - 1, True
-            kept = [x[-1:] for x in kept]  # tells what the next batch goes on with
-    if kept is not None:
-        yield from _handed(kept, gone, handed, cell_rows, whole=True)
-
-
-def _blocked(cols: list[np.ndarray], rank: np.ndarray, cell_rows: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((rank // cell_rows).astype(np.int32))], ["g", "before", "u", "block"])
-
-
-def _handed(cols: list[np.ndarray], gone: int, handed: bool, cell_rows: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """The rows to keep of complete runs; of the last one only if ``whole``. Of the first, ``gone`` rows came before, one of them here again if ``handed``."""
-    g, before = cols[0], cols[1]
-    stop = len(g) if whole else int(np.searchsorted(g, g[-1]))
-    if not stop:
-        return
-    new = np.ones(stop, bool)
-    new[1:] = g[1:stop] != g[: stop - 1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], stop) - 1
-    keep = (last > first) & ((before[first] != before[last]) | (before[first] == 0))
-    rank = np.arange(stop) - np.repeat(first, last - first + 1)
-    rows = np.repeat(keep, last - first + 1)
-    size = int(last[0]) + 1
-    rank[:size] += gone
-    if handed:
-        rows[:size] = True
-        rows[0] = False
-    yield _blocked([x[:stop][rows] for x in cols], rank[rows], cell_rows)
-
-
-def _histogram(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often each row has each of the 64 letters."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    return np.bincount(row * 64 + _CODE[data], minlength=64 * n).reshape(n, 64).astype(np.int32)
+_TIMES = 4
+_BYTE = 120  # signatures of up to so many letters are bounded in bytes
 
 
 class _Side:
-    """A column of signatures with what bounds their common letters."""
+    """A column of signatures with what bounds their common letters, in order of length."""
 
     def __init__(self, column: pa.Array):
         data, offsets, _ = string_buffers(column)
-        self.column, self.size, self.letters = column, np.diff(offsets), _histogram(data, offsets)
-
-
-def _bound(x: _Side, a: np.ndarray, y: _Side, b: np.ndarray) -> np.ndarray:
-    """At least the score of each pair: no more letters in common than both have."""
-    return 200 * np.minimum(x.letters[a], y.letters[b]).sum(1) // np.maximum(x.size[a] + y.size[b], 1)
-
+        size = np.diff(offsets)
+        self.order = np.argsort(size, kind="stable")
+        self.column, self.code, self.start, self.size = column, _CODE[data].astype(np.uint8), offsets[:-1][self.order], size[self.order]
+        words = np.empty((_TIMES, len(size)), np.uint64)
+        for k in range(0, len(size), 1 << 13):
+            part = offsets[k : k + (1 << 13) + 1]
+            many = np.bincount(np.repeat(np.arange(len(part) - 1), np.diff(part)) * 64 + self.code[part[0] : part[-1]], minlength=64 * (len(part) - 1)).reshape(-1, 64)
+            for time in range(_TIMES):
+                words[time, k : k + len(part) - 1] = np.packbits(many > time, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        self.words = np.ascontiguousarray(words[:, self.order])
+        own = np.bitwise_count(self.words).astype(np.int64)
+        self.beyond = [self.size - own[:2].sum(0), self.size - own.sum(0)]
+        self.bounds = {np.uint8: np.minimum(self.beyond[0], _BYTE).astype(np.uint8), np.uint32: self.beyond[0].astype(np.uint32)}
+
+    def of(self, keep: np.ndarray) -> _Side:
+        """The rows of the mask ``keep`` alone, by their row in the column."""
+        at, part = np.flatnonzero(keep[self.order]), copy(self)
+        part.order, part.start, part.size, part.words = self.order[at], self.start[at], self.size[at], np.ascontiguousarray(self.words[:, at])
+        part.beyond, part.bounds = [b[at] for b in self.beyond], {kind: b[at] for kind, b in self.bounds.items()}
+        return part
+
+
+def _common(x: _Side, i: np.ndarray, y: _Side, j: np.ndarray) -> np.ndarray:
+    """Letters in common, in order, of each pair: ``common_letters``, with the masks of each x made once."""
+    out = np.empty(len(i), np.int64)
+    short = x.size[i] <= 64
+    if not short.all():
+        at = np.flatnonzero(~short)
+        for k in range(0, len(at), 1 << 13):
+            own = at[k : k + (1 << 13)]
+            out[own] = common_letters(x.column.take(pa.array(x.order[i[own]])), y.column.take(pa.array(y.order[j[own]])))
+    at = np.flatnonzero(short)
+    if not len(at):
+        return out
+    rows, row = np.unique(i[at], return_inverse=True)
+    one = np.uint64(1)
+    code = np.append(y.code, np.uint8(64))
+    for k in range(0, len(at), 1 << 13):
+        own, at_row = at[k : k + (1 << 13)], row[k : k + (1 << 13)]
+        first, last = int(at_row.min()), int(at_row.max()) + 1
+        if last - first > 1 << 13:  # a mask for each pair would be less
+            used, at_row = np.unique(at_row, return_inverse=True)
+        else:
+            used, at_row = np.arange(first, last), at_row - first
+        used = rows[used]
+        masks = np.zeros((len(used), 65), np.uint64)
+        for pos in range(int(x.size[used].max(initial=0))):
+            on = np.flatnonzero(x.size[used] > pos)
+            masks[on, x.code[x.start[used[on]] + pos]] |= one << np.uint64(pos)
+        masks, base = masks.ravel(), at_row * 65
+        v = np.full(len(own), ~np.uint64(0), np.uint64)
+        size, start = y.size[j[own]], y.start[j[own]]
+        for pos in range(int(size.max(initial=0))):
+            m = masks[base + code[np.where(size > pos, start + pos, -1)]]
+            u = v & m
+            v = (v + u) | (v - u)
+        length = x.size[i[own]]
+        inside = np.where(length >= 64, ~np.uint64(0), (one << np.minimum(length, 63).astype(np.uint64)) - one)
+        out[own] = np.bitwise_count(~v & inside)
+    return out
 
-def _best_in_cells(batch: pa.RecordBatch, min_score: int, budget: int = 1 << 16) -> pa.RecordBatch:
-    """(doc_id, other, score): of each document in whole cells, the one most alike among those it meets, the least id among equals.
 
-    All pairs of a cell are looked at in strips, but for those whose letters before the gram agree; bounds by length and by
-    letters leave those to compare that could reach ``min_score`` and the best so far of either.
-    """
-    cell, half, before, ids, size = (batch.column(i).to_numpy() for i in range(5))
-    one, two = _Side(batch.column(5)), _Side(batch.column(6))
-    names, of = np.unique(ids, return_inverse=True)
-    best, arg = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    for a, b in strips(np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1, budget):
-        meet = ((before[a] != before[b]) | (before[a] == 0)) & ((half[a] == 0) | (half[a] != half[b])) & (ids[a] != ids[b])
-        a, b = a[meet], b[meet]
-        score = np.zeros(len(a), np.int64)
-        same, up, down = size[a] == size[b], size[a] == 2 * size[b], 2 * size[a] == size[b]
-        for x, y, fit in ((one, one, same), (two, two, same), (one, two, up), (two, one, down)):
-            at = np.flatnonzero(fit)
-            least = np.minimum(x.size[a[at]], y.size[b[at]])
-            at = at[200 * least >= min_score * (x.size[a[at]] + y.size[b[at]])]
-            if not len(at):
-                continue
-            high = _bound(x, a[at], y, b[at])
-            wanted = np.maximum(min_score, np.minimum(best[of[a[at]]], best[of[b[at]]]))
-            at = at[high >= wanted]
-            if len(at):
-                score[at] = np.maximum(score[at], compare(x.column.take(pa.array(a[at])), y.column.take(pa.array(b[at]))))
-        good = score >= min_score
-        a, b, score = of[a[good]], of[b[good]], score[good]
-        who, other, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+def _within_reach(x: _Side, y: _Side, min_score: int, width: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), in order of length, of the pairs of rows of x and y that could reach ``min_score``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+    need, need_of = np.zeros(0), -1
+    common, other, ways = np.empty(width, np.uint8), np.empty(width, np.uint8), np.empty(width, np.uint64)
+    for i in range(len(x.size)):
+        size = int(x.size[i])
+        if size != need_of:
+            # score = 200 * common // both sizes, so common letters must be this many; more than either has can't be
+            need, need_of = -(-min_score * (size + y.size) // 200), size
+            fits = np.flatnonzero(np.minimum(size, y.size) >= need)
+            low, high = (int(fits[0]), int(fits[-1]) + 1) if len(fits) else (0, 0)
+            kind = np.uint8 if size <= _BYTE else np.uint32
+            need = np.minimum(need, np.iinfo(kind).max).astype(kind)
+            beyond = y.bounds[kind]
+        own = x.bounds[kind][i]
+        for at in range(low, high, width):
+            end = min(at + width, high)
+            n = end - at
+            np.bitwise_and(y.words[0, at:end], x.words[0, i], out=ways[:n])
+            np.bitwise_count(ways[:n], out=common[:n])
+            np.bitwise_and(y.words[1, at:end], x.words[1, i], out=ways[:n])
+            np.bitwise_count(ways[:n], out=other[:n])
+            np.add(common[:n], other[:n], out=common[:n])
+            j = np.flatnonzero(common[:n] + np.minimum(beyond[at:end], own) >= need[at:end])
+            if len(j):
+                held.append((np.full(len(j), i), j + at))
+                total += len(j)
+        if total > 1 << 18:
+            yield _closer(held, x, y, min_score)
+            held, total = [], 0
+    if held:
+        yield _closer(held, x, y, min_score)
+
+
+def _closer(held: list[tuple[np.ndarray, np.ndarray]], x: _Side, y: _Side, min_score: int) -> tuple[np.ndarray, np.ndarray]:
+    i, j = (np.concatenate(c) for c in zip(*held))
+    most = np.minimum(x.beyond[1][i], y.beyond[1][j])
+    for time in range(_TIMES):
+        most = most + np.bitwise_count(x.words[time, i] & y.words[time, j])
+    near = 200 * most >= min_score * (x.size[i] + y.size[j])
+    return i[near], j[near]
+
+
+def _links(x: list[_Side], y: list[_Side], min_score: int, same: bool, pairs: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of all pairs of rows of x and y of which one of the sides scores ``min_score`` or more, each once, with its
+    best score; of pairs of rows of one table, if ``same``, those with i < j. A stretch of rows at a time, so that few are held."""
+    n, m = len(x[0].size), len(y[0].size)
+    step = max(1, pairs // m)
+    row, other = np.arange(n), np.arange(m)
+    for k in range(0, n, step):
+        found = []
+        for a, b in zip(x, y):
+            a = a.of((row >= k) & (row < k + step))
+            if same:
+                b = b.of(other > k)
+            for i, j in _within_reach(a, b, min_score):
+                if same:
+                    ahead = a.order[i] < b.order[j]
+                    i, j = i[ahead], j[ahead]
+                score = 200 * _common(a, i, b, j) // np.maximum(a.size[i] + b.size[j], 1)
+                good = score >= min_score
+                found.append((a.order[i[good]], b.order[j[good]], score[good]))
+        if not found:
+            continue
+        i, j, score = (np.concatenate(c) for c in zip(*found))
+        by = np.lexsort((-score, j, i))
+        i, j, score = i[by], j[by], score[by]
+        first = np.ones(len(i), bool)
+        first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        yield i[first], j[first], score[first]
+
+
+def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, columns: list[pa.Array], min_score: int) -> pa.RecordBatch:
+    """(node, tied, n, other, score): n links of the node in the cell, ``tied`` the least row that they reach, and its best match."""
+    size = len(node)
+    label, count = np.arange(size), np.zeros(size, np.int64)
+    best, arg = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    at_x, at_y = np.flatnonzero(half <= 1), np.flatnonzero((half == 0) | (half == 2))
+    same = len(at_x) > 0 and half[at_x[0]] == 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def take() -> None:
+        a, b, score = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        joined(label, a, b)
+        np.add.at(count, a, 1)
+        np.add.at(count, b, 1)
+        apart = one[a] != one[b]
+        a, b, score = a[apart], b[apart], score[apart]
+        who, other, score = np.concatenate([a, b]), one[np.concatenate([b, a])], np.concatenate([score, score])
         order = np.lexsort((other, -score, who))
         who, other, score = who[order], other[order], score[order]
         first = np.ones(len(who), bool)
@@ -266,59 +336,98 @@ def _best_in_cells(batch: pa.RecordBatch, min_score: int, budget: int = 1 << 16)
         who, other, score = who[first], other[first], score[first]
         better = (score > best[who]) | ((score == best[who]) & (other < arg[who]))
         best[who[better]], arg[who[better]] = score[better], other[better]
-    found = best > 0
-    return pa.RecordBatch.from_arrays([pa.array(names[found]), pa.array(names[arg[found]]), pa.array(best[found].astype(np.int32))], ["doc_id", "other", "score"])
-
 
-def best_matches(prints: DataFrame, min_score: int = 60, cell_rows: int = 1 << 14) -> DataFrame:
-    """(doc_id, other, score): for each of prints (doc_id, block_size, signature, signature2) the one most alike, the least id
-    among equals, where it scores ``min_score`` or more; a document may come several times, its best row counts.
-
-    Signatures are compared where block sizes agree: both own ones, both double ones, or one's own with the other's double.
-    They must have GRAM letters in a row in common, and the best score counts. All pairs sharing such letters are compared, in
-    the cell of the first such letters of a stretch they share, and only each document's best leaves the cell. Cells of over
-    ``cell_rows`` rows are compared by pairs of blocks, in tasks of their own, so no task holds more, however many share a passage.
-    ``prints`` holds distinct fingerprints; those of equal fingerprints aren't wanted. An id may have several: each is compared,
-    but not with the others of its id.
+    if len(at_x) and len(at_y):
+        x = [_Side(c.take(pa.array(at_x))) for c in columns]
+        y = x if same else [_Side(c.take(pa.array(at_y))) for c in columns]
+        for i, j, score in _links(x, y, min_score, same):
+            held.append((at_x[i], at_y[j], score))
+            if sum(len(h[0]) for h in held) > 1 << 18 or len(held) > 1 << 10:
+                take()
+        if held:
+            take()
+    some = np.flatnonzero(count > 0)
+    none = best[some] < 0
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(count[some]), pa.array(arg[some], mask=none), pa.array(best[some].astype(np.int32), mask=none)], ["node", "tied", "n", "other", "score"])
+
+
+def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 << 18, least_rows: int = 1 << 12, least_blocks: int = 4) -> DataFrame:
+    """(node, tied, n, other, score) among classes (node, one, block_size, signature, signature2) of different fingerprints.
+
+    Every pair with a score of ``min_score`` or more is a link. The n of a node sum up to its links; pairs (node, tied) span them; the
+    greatest score, then the least ``other``, is the ``one`` most alike that isn't its own. Signatures are compared where block sizes
+    agree: both own ones, both double ones, or one's own with the other's double, and the best score counts.
+
+    Classes of a block size are spread over blocks. Each pair of blocks of one size, or of one and its double, is a task's cell, and
+    all of its pairs are looked at, so no task holds more than two blocks and the work is quadratic in the classes.
     """
-    prints = prints.withColumn("u", F.xxhash64("doc_id", "block_size", "signature", "signature2"))
-    sides = prints.select("u", F.explode(F.array(F.struct(F.col("block_size").alias("size"), F.col("signature").alias("s")), F.struct((F.col("block_size") * 2).alias("size"), F.col("signature2").alias("s")))).alias("x"))
-    at = F.sequence(F.lit(1), F.length("x.s") - GRAM + 1)
-    gram = F.transform(at, lambda i: F.struct(F.xxhash64("x.size", F.substring(F.col("x.s"), i, F.lit(GRAM))).alias("g"), F.when(i == 1, 0).otherwise(F.ascii(F.substring(F.col("x.s"), i - 1, F.lit(1)))).cast("byte").alias("before")))
-    grams = sides.where(F.length("x.s") >= GRAM).select("u", F.explode(gram).alias("y")).select("y.g", "y.before", "u")
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _starts_of_runs(batches, cell_rows, 4 * cell_rows)
-
-    kept = cut(grams.repartition("g").sortWithinPartitions("g", "before").mapInArrow(starts, "g long, before byte, u long, block int"))
-    large = kept.where("block > 0").groupBy("g").agg((F.max("block") + 1).alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    placed = kept.join(large, "g", "left").select("g", "before", "u", "block", other.alias("with"))
-    half = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2).cast("byte")
-    cells = placed.select(F.xxhash64("g", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), half.alias("half"), "before", "u")
-    rows = cells.join(prints, "u").select("cell", "half", "before", "doc_id", "block_size", "signature", "signature2")
+    sizes = sorted((r["block_size"], r["count"]) for r in classes.groupBy("block_size").count().collect())
+    many = [max(min(least_blocks, -(-n // least_rows)), -(-n // block_rows)) for _, n in sizes]
+    start = [sum(many[:k]) for k in range(len(many))]
+    total = max(1, sum(many))
+    span = {}
+    for k, (size, _) in enumerate(sizes):
+        before = k > 0 and 2 * sizes[k - 1][0] == size
+        after = k + 1 < len(sizes) and 2 * size == sizes[k + 1][0]
+        span[size] = (start[k], many[k], start[k - 1] if before else start[k], start[k] + many[k] + (many[k + 1] if after else 0) - 1)
+    cells = sum(1 for a, b in ((i, j) for i in range(total) for j in range(i, total)) if any(s <= a < s + m and b <= high for s, m, _, high in span.values()))
+
+    def of_size(which: int) -> Column:
+        return F.coalesce(*(F.when(F.col("block_size") == size, F.lit(v[which])) for size, v in span.items()), F.lit(0))
+
+    own = (of_size(0) + F.pmod(F.xxhash64("node"), of_size(1))).cast("int").alias("own")
+    near = F.sequence(of_size(2), of_size(3))
+    placed = classes.select("*", own, of_size(0).alias("start"), (of_size(0) + of_size(1)).alias("end"), F.explode(near).alias("with"))
+    half = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).cast("byte")
+    alike = (F.col("with") >= F.col("start")) & (F.col("with") < F.col("end"))
+    text = F.when(alike | (F.col("own") > F.col("with")), F.col("signature")).otherwise(F.col("signature2"))
+    rows = placed.select((F.least("own", "with") * total + F.greatest("own", "with")).alias("cell"), half.alias("half"), "node", "one", text.alias("s"), F.when(alike, F.col("signature2")).alias("s2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches):
-            yield _best_in_cells(batch, min_score)
+            cell = batch.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+            for i, j in zip(ends, ends[1:]):
+                part = batch.slice(i, j - i)
+                half, node, one = (part.column(c).to_numpy() for c in (1, 2, 3))
+                yield _found_in_cell(half, node, one, [part.column(4)] + ([part.column(5)] if part.column(5).null_count == 0 else []), min_score)
+
+    return rows.repartition(max(1, cells), "cell").sortWithinPartitions("cell").mapInArrow(run, "node long, tied long, n long, other long, score int")
+
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "doc_id long, other long, score int")
+def best_matches(prints: DataFrame, min_score: int = 60, cell_rows: int = 3 << 18) -> DataFrame:
+    """(doc_id, other, score): for each of prints (doc_id, block_size, signature, signature2) the ones most alike by ``class_links``;
+    a document may come several times, its row of greatest score and least other counts."""
+    classes = cut(prints.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("one"), "block_size", "signature", "signature2"))
+    links = class_links(classes, min_score, cell_rows).where("other IS NOT NULL")
+    return links.join(classes.select("node", F.col("one").alias("doc_id")), "node").select("doc_id", "other", "score")
 
 
 def fingerprint_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = 60) -> DataFrame:
-    """(doc_id, block_size, signature, signature2, match_id, score) for every row with an id and a text.
+    """(doc_id, block_size, signature, signature2, match_id, score, group_id, n_links) for every row with an id and a text.
 
-    ``match_id`` is the document most alike, the least id among equals, with a score of ``min_score`` or more; null where there
-    is none. Documents with equal fingerprints match each other at 100: the first matches the second, the others the first.
-    Of these only the first is compared with other fingerprints, so copies, however many, add nothing to the search.
-    Signatures of under GRAM letters match equal ones only; empty texts match nothing. Rows that repeat an id and a text are one.
+    Documents with equal fingerprints are a class. Two classes are linked where they score ``min_score`` or more, whatever their
+    signatures' lengths (``class_links``): ``n_links`` counts the classes that a document's is linked to, and ``group_id`` is the least
+    id of all that links connect. ``match_id`` is the document most alike, the least id among equals; null where there is none.
+    Documents of one class match each other at 100, and only the class is compared, so copies, however many, add nothing to the
+    search. Texts without a signature match nothing. Rows that repeat an id and a text are one; an id isn't its own match.
     """
     prints = cut(fingerprint_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("block_size IS NOT NULL").distinct())
     key = ["block_size", "signature", "signature2"]
     some = prints.where("signature <> ''")
-    first = cut(some.groupBy(*key).agg(F.min("doc_id").alias("one")))
-    near = best_matches(first.select(F.col("one").alias("doc_id"), *key), min_score)
-    again = cut(some.join(first, key).where("doc_id <> one").select("doc_id", F.col("one").alias("other"), F.lit(100).alias("score")))
-    second = again.groupBy("other").agg(F.min("doc_id").alias("second")).select(F.col("other").alias("doc_id"), F.col("second").alias("other"), F.lit(100).alias("score"))
-    best = near.unionAll(second).unionAll(again).groupBy("doc_id").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("match_id"), F.max("score").alias("score"))
-    return prints.join(best, "doc_id", "left").select("doc_id", *key, "match_id", "score")
+    classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("one")).select(F.monotonically_increasing_id().alias("node"), "one", *key))
+    links = cut(class_links(classes, min_score))
+    groups = connected_components(links.select(F.col("node").alias("a"), F.col("tied").alias("b")))
+    named = groups.join(classes.select("node", "one"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("one").alias("group_id")), "component").select("node", "group_id")
+    found = links.groupBy("node").agg(F.sum("n").cast("int").alias("n_links"), F.min_by("other", F.struct(-F.col("score"), "other")).alias("other"), F.max("score").alias("near"))
+    member = cut(some.join(classes, key).select("doc_id", *key, "node", "one"))
+    second = member.where("doc_id <> one").groupBy("node").agg(F.min("doc_id").alias("second"))
+    rows = member.join(found.join(named, "node"), "node", "left").join(second, "node", "left")
+    twin = F.when(F.col("doc_id") != F.col("one"), F.col("one")).otherwise(F.col("second"))
+    other = F.when(F.col("other") != F.col("doc_id"), F.col("other"))
+    as_copy = twin.isNotNull() & (other.isNull() | (F.col("near") < 100) | (twin < other))
+    match, score = F.when(as_copy, twin).otherwise(other), F.when(as_copy, 100).when(other.isNotNull(), F.col("near"))
+    rows = rows.select("doc_id", *key, match.alias("match_id"), score.cast("int").alias("score"), F.coalesce("group_id", "one").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    bare = prints.where("signature = ''").select("doc_id", *key, F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("int").alias("score"), F.col("doc_id").alias("group_id"), F.lit(0).alias("n_links"))
+    return rows.unionByName(bare)

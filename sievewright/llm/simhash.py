@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import meet_in_cells, strips, whole_runs
-from .components import connected_components
+from .components import connected_components, joined
 from .lineage import cut
 from .textblocks import blocks, mix64, segment_sum, string_buffers, words
 
@@ -147,19 +147,6 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return thin.mapInArrow(run, "doc_id long, t long, " + ", ".join(f"{f} long" for f in _FP))
 
 
-def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of each a and b; ``label`` names each row's set by its least row."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not (label == label[label]).all():
-            label[:] = label[label]
-
-
 def _links_in_cells(cols: list[np.ndarray], half: np.ndarray, limit: int, masks: np.ndarray) -> list[np.ndarray]:
     """(a, b, n): b is the least row that a reaches in its cell over pairs within ``limit``, n how many of these pairs a is of.
 
@@ -181,7 +168,7 @@ def _links_in_cells(cols: list[np.ndarray], half: np.ndarray, limit: int, masks:
         a, b = a[near], b[near]
         if not len(a):
             continue
-        _joined(label, a, b)
+        joined(label, a, b)
         differ, new = code[a] ^ code[b], np.ones(len(a), bool)
         for g in range(int(grid[a].max())):
             new &= (grid[a] <= g) | (differ & masks[g]).any(1)
@@ -306,7 +293,7 @@ def _links_of_blocks(half: np.ndarray, ids: np.ndarray, fp: list[np.ndarray], li
 
     def take() -> None:
         a, b = (np.concatenate(c) for c in zip(*found))
-        _joined(label, a, b)
+        joined(label, a, b)
         np.add.at(count, a, 1)
         np.add.at(count, b, 1)
         found.clear()

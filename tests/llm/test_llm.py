@@ -430,6 +430,62 @@ def test_ctph_against_all_pairs(spark, odd, none):
     assert ctph.fingerprint_matches(none).count() == 0
 
 
+def edited_texts():
+    """Texts of several sizes, each with versions of it of which every so many words is another, and short ones."""
+    rng = random.Random(11)
+    rows = []
+    for n in (3, 6, 30, 60, 120, 500):
+        for _ in range(4):
+            base = prose(rng, n).split()
+            rows += [" ".join("new" + str(rng.randrange(99)) if every and k % every == every - 1 else w for k, w in enumerate(base)) for every in (0, 25, 12, 8, 5)]
+            rows.append(" ".join(base[: 2 * n // 3]))
+            rows.append(" ".join(base + base[: n // 2]))
+    return rows + rows[::9] + ["a", "a b", "b a", "?"]
+
+
+def test_ctph_links_are_those_of_all_pairs(spark):
+    texts = edited_texts()
+    docs = spark.createDataFrame([(3 * k % 1009, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ctph.fingerprint_matches(docs).collect()}
+    assert len(got) == len(texts)
+    key = {d: (r["block_size"], r["signature"], r["signature2"]) for d, r in got.items()}
+
+    def score(p, q):
+        if p == q:
+            return 100
+        sides = [(x, y) for m, x in ((1, p[1]), (2, p[2])) for k, y in ((1, q[1]), (2, q[2])) if m * p[0] == k * q[0]]
+        return max([200 * lcs(x, y) // (len(x) + len(y)) for x, y in sides], default=0)
+
+    classes = sorted(set(key.values()))
+    near = {p: {q for q in classes if p != q and score(p, q) >= 60} for p in classes}
+    apart = sum(not any(x[i : i + 7] in y for x in p[1:] for y in q[1:] for i in range(len(x) - 6)) for p in classes for q in near[p])
+    assert apart > 20 and any(len(p[1]) < 7 for p in classes if near[p])  # links that seven letters in a row wouldn't show
+    one = {p: min(d for d in key if key[d] == p) for p in classes}
+    group = dict(one)
+    for _ in classes:
+        group = {p: min([group[p], *(group[q] for q in near[p])]) for p in classes}
+    for d, r in got.items():
+        best = min([(-score(key[d], key[e]), e) for e in key if e != d and score(key[d], key[e]) >= 60], default=(None, None))
+        assert (r["score"], r["match_id"]) == (best[0] and -best[0], best[1]), d
+        assert (r["n_links"], r["group_id"]) == (len(near[key[d]]), group[key[d]]), d
+    rows = [(k, one[p], *p) for k, p in enumerate(classes)]
+    table = spark.createDataFrame(rows, "node long, one long, block_size int, signature string, signature2 string")
+    for block_rows in (5, 1 << 14):
+        count = Counter()
+        for r in ctph.class_links(table, 60, block_rows).collect():
+            count[r["node"]] += r["n"]
+        assert dict(count) == {k: len(near[p]) for k, p in enumerate(classes) if near[p]}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ABCab+", min_size=1, max_size=200), min_size=2, max_size=8), st.sampled_from([1, 35, 60, 100]))
+def test_ctph_bounds_lose_no_pair(signatures, least):
+    side = ctph._Side(pa.array(signatures))
+    got = sorted((i, j, s) for a, b, c in ctph._links([side], [side], least, True, 8) for i, j, s in zip(a.tolist(), b.tolist(), c.tolist()))
+    scores = [(i, j, 200 * lcs(a, b) // (len(a) + len(b))) for i, a in enumerate(signatures) for j, b in enumerate(signatures) if i < j]
+    assert got == [x for x in scores if x[2] >= least]
+
+
 def test_quality(spark, odd, none):
     rng = random.Random(5)
     good = [prose(rng, 60) + "." for _ in range(120)]
