@@ -311,11 +311,12 @@ def _links(x: list[_Side], y: list[_Side], min_score: int, same: bool, pairs: in
         yield i[first], j[first], score[first]
 
 
-def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, columns: list[pa.Array], min_score: int) -> pa.RecordBatch:
+def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, second: pa.Array, columns: list[pa.Array], min_score: int) -> pa.RecordBatch:
     """(node, tied, n, other, score): n links of the node in the cell, ``tied`` the least row that they reach, and its best match."""
     size = len(node)
     label, count = np.arange(size), np.zeros(size, np.int64)
     best, arg = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    two, more = pc.fill_null(second, 0).to_numpy(), pc.is_valid(second).to_numpy(zero_copy_only=False)
     at_x, at_y = np.flatnonzero(half <= 1), np.flatnonzero((half == 0) | (half == 2))
     same = len(at_x) > 0 and half[at_x[0]] == 0
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -326,9 +327,10 @@ def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, columns:
         joined(label, a, b)
         np.add.at(count, a, 1)
         np.add.at(count, b, 1)
-        apart = one[a] != one[b]
-        a, b, score = a[apart], b[apart], score[apart]
-        who, other, score = np.concatenate([a, b]), one[np.concatenate([b, a])], np.concatenate([score, score])
+        who, of, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+        own = one[who] == one[of]
+        other, there = np.where(own, two[of], one[of]), ~own | more[of]
+        who, other, score = who[there], other[there], score[there]
         order = np.lexsort((other, -score, who))
         who, other, score = who[order], other[order], score[order]
         first = np.ones(len(who), bool)
@@ -352,10 +354,11 @@ def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, columns:
 
 
 def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 << 18, least_rows: int = 1 << 12, least_blocks: int = 4) -> DataFrame:
-    """(node, tied, n, other, score) among classes (node, one, block_size, signature, signature2) of different fingerprints.
+    """(node, tied, n, other, score) among classes (node, one, second, block_size, signature, signature2) of different fingerprints.
 
     Every pair with a score of ``min_score`` or more is a link. The n of a node sum up to its links; pairs (node, tied) span them; the
-    greatest score, then the least ``other``, is the ``one`` most alike that isn't its own. Signatures are compared where block sizes
+    greatest score, then the least ``other``, is the document most alike: of a class its ``one``, or the ``second`` where that is the
+    node's own ``one``, as an id may have several texts. Signatures are compared where block sizes
     agree: both own ones, both double ones, or one's own with the other's double, and the best score counts.
 
     Classes of a block size are spread over blocks. Each pair of blocks of one size, or of one and its double, is a task's cell, and
@@ -381,7 +384,7 @@ def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 <<
     half = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).cast("byte")
     alike = (F.col("with") >= F.col("start")) & (F.col("with") < F.col("end"))
     text = F.when(alike | (F.col("own") > F.col("with")), F.col("signature")).otherwise(F.col("signature2"))
-    rows = placed.select((F.least("own", "with") * total + F.greatest("own", "with")).alias("cell"), half.alias("half"), "node", "one", text.alias("s"), F.when(alike, F.col("signature2")).alias("s2"))
+    rows = placed.select((F.least("own", "with") * total + F.greatest("own", "with")).alias("cell"), half.alias("half"), "node", "one", "second", text.alias("s"), F.when(alike, F.col("signature2")).alias("s2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches):
@@ -390,7 +393,7 @@ def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 <<
             for i, j in zip(ends, ends[1:]):
                 part = batch.slice(i, j - i)
                 half, node, one = (part.column(c).to_numpy() for c in (1, 2, 3))
-                yield _found_in_cell(half, node, one, [part.column(4)] + ([part.column(5)] if part.column(5).null_count == 0 else []), min_score)
+                yield _found_in_cell(half, node, one, part.column(4), [part.column(c) for c in (5, 6) if not part.column(c).null_count], min_score)
 
     return rows.repartition(max(1, cells), "cell").sortWithinPartitions("cell").mapInArrow(run, "node long, tied long, n long, other long, score int")
 
@@ -398,7 +401,7 @@ def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 <<
 def best_matches(prints: DataFrame, min_score: int = 60, cell_rows: int = 3 << 18) -> DataFrame:
     """(doc_id, other, score): for each of prints (doc_id, block_size, signature, signature2) the ones most alike by ``class_links``;
     a document may come several times, its row of greatest score and least other counts."""
-    classes = cut(prints.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("one"), "block_size", "signature", "signature2"))
+    classes = cut(prints.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").alias("one"), F.lit(None).cast("long").alias("second"), "block_size", "signature", "signature2"))
     links = class_links(classes, min_score, cell_rows).where("other IS NOT NULL")
     return links.join(classes.select("node", F.col("one").alias("doc_id")), "node").select("doc_id", "other", "score")
 
@@ -416,13 +419,14 @@ def fingerprint_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = ["block_size", "signature", "signature2"]
     some = prints.where("signature <> ''")
     classes = cut(some.groupBy(*key).agg(F.min("doc_id").alias("one")).select(F.monotonically_increasing_id().alias("node"), "one", *key))
+    member = cut(some.join(classes, key).select("doc_id", *key, "node", "one"))
+    second = cut(member.where("doc_id <> one").groupBy("node").agg(F.min("doc_id").alias("second")))
+    classes = classes.join(second, "node", "left")
     links = cut(class_links(classes, min_score))
     groups = connected_components(links.select(F.col("node").alias("a"), F.col("tied").alias("b")))
     named = groups.join(classes.select("node", "one"), "node")
     named = named.join(named.groupBy("component").agg(F.min("one").alias("group_id")), "component").select("node", "group_id")
-    found = links.groupBy("node").agg(F.sum("n").cast("int").alias("n_links"), F.min_by("other", F.struct(-F.col("score"), "other")).alias("other"), F.max("score").alias("near"))
-    member = cut(some.join(classes, key).select("doc_id", *key, "node", "one"))
-    second = member.where("doc_id <> one").groupBy("node").agg(F.min("doc_id").alias("second"))
+    found = links.groupBy("node").agg(F.sum("n").cast("int").alias("n_links"), F.min_by("other", F.when(F.col("other").isNotNull(), F.struct(-F.col("score"), "other"))).alias("other"), F.max("score").alias("near"))
     rows = member.join(found.join(named, "node"), "node", "left").join(second, "node", "left")
     twin = F.when(F.col("doc_id") != F.col("one"), F.col("one")).otherwise(F.col("second"))
     other = F.when(F.col("other") != F.col("doc_id"), F.col("other"))

@@ -468,8 +468,8 @@ def test_ctph_links_are_those_of_all_pairs(spark):
         best = min([(-score(key[d], key[e]), e) for e in key if e != d and score(key[d], key[e]) >= 60], default=(None, None))
         assert (r["score"], r["match_id"]) == (best[0] and -best[0], best[1]), d
         assert (r["n_links"], r["group_id"]) == (len(near[key[d]]), group[key[d]]), d
-    rows = [(k, one[p], *p) for k, p in enumerate(classes)]
-    table = spark.createDataFrame(rows, "node long, one long, block_size int, signature string, signature2 string")
+    rows = [(k, one[p], None, *p) for k, p in enumerate(classes)]
+    table = spark.createDataFrame(rows, "node long, one long, second long, block_size int, signature string, signature2 string")
     for block_rows in (5, 1 << 14):
         count = Counter()
         for r in ctph.class_links(table, 60, block_rows).collect():
@@ -477,6 +477,30 @@ def test_ctph_links_are_those_of_all_pairs(spark):
         assert dict(count) == {k: len(near[p]) for k, p in enumerate(classes) if near[p]}
 
 
+def test_ctph_of_ids_with_several_texts(spark):
+    texts = [t for t in edited_texts() if len(t) > 100]
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), t) for t in texts for _ in range(2)] + [(20 + k, t) for k, t in enumerate(texts[::3])]
+    got = ctph.fingerprint_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in got}) < len(got)
+    scores = {}
+    for r in got:
+        p, best = (r["block_size"], r["signature"], r["signature2"]), (0, 0)
+        for q in got:
+            k = (q["block_size"], q["signature"], q["signature2"])
+            if (p, k) not in scores:
+                sides = [(x, y) for m, x in ((1, p[1]), (2, p[2])) for n, y in ((1, k[1]), (2, k[2])) if m * p[0] == n * k[0]]
+                scores[p, k] = scores[k, p] = 100 if p == k else max([200 * lcs(x, y) // (len(x) + len(y)) for x, y in sides], default=0)
+            if q["doc_id"] != r["doc_id"] and scores[p, k] >= 60:
+                best = min(best, (-scores[p, k], q["doc_id"]))
+        assert (r["score"] or 0, r["match_id"] or 0) == (-best[0], best[1])
+        assert r["n_links"] == len({k for (x, k), n in scores.items() if x == p and k != p and n >= 60}), r
+    one, other = edited_texts()[84:86]  # two texts of document 1, of which document 7 has the second as well
+    got = ctph.fingerprint_matches(spark.createDataFrame([(1, one), (1, other), (7, other)], "doc_id long, text string")).collect()
+    signature = {r["signature"] for r in got if r["doc_id"] == 7}
+    assert {(r["doc_id"], r["match_id"], r["n_links"], r["signature"] in signature) for r in got} == {(1, 7, 1, False), (1, 7, 1, True), (7, 1, 1, True)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ABCab+", min_size=1, max_size=200), min_size=2, max_size=8), st.sampled_from([1, 35, 60, 100]))
 def test_ctph_bounds_lose_no_pair(signatures, least):
