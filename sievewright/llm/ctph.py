@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import copy
+from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -163,12 +165,29 @@ def compare(a: pa.Array, b: pa.Array) -> np.ndarray:
 #
 # Two signatures have no more letters in common than both have. How often a signature has each of the 64 letters is kept in
 # unary, a word for each of the first four times, so that letters both have are the popcount of an AND, and times beyond add no
-# more than the lesser number of these. All pairs of signatures are looked at so; the letters in a row are compared where this
-# bound leaves the score in reach.
+# more than the lesser number of these. The letters in a row are compared where this bound leaves the score in reach. Of small cells all
+# pairs are looked at so.
 
 _TIMES = 4
 _BYTE = 120  # signatures of up to so many letters are bounded in bytes
 
+# Of larger cells few pairs are looked at. Let both signatures have two marks before their letters and two behind, which are in
+# common too. Pairs in reach leave out so few letters between those in common that some four of these in a row, of which no outer
+# mark is one, leave out _GAPS at most, both sides together; or else the first two after the marks leave out _GAPS_AHEAD, or the last
+# two _GAPS_BEHIND, as else all of them left out too many (``_sure``). So each signature has a key for every four of its letters
+# that leaves out so many, and pairs without a key in common aren't in reach.
+_GAPS, _GAPS_AHEAD, _GAPS_BEHIND = 3, 2, 1
+_MARKS = _OUTER_AHEAD, _AHEAD, _BEHIND, _OUTER_BEHIND = 64, 65, 66, 67
+_CODES = 68
+_STEPS = sorted(((d, sum(d) - 3) for d in product(range(1, _GAPS + 2), repeat=3) if sum(d) - 3 <= _GAPS), key=lambda x: x[1])
+_LONG = 120  # letters of signatures that have keys; longer ones would have very many in common
+_KEYS_PAY = 16_000  # rows to a side from which on keys cost less than all pairs
+_BLOCK = 1 << 18  # rows whose keys are held at once
+_CROWD = 1 << 10  # rows with one key from which on all of their pairs cost less than one by one
+_CROWDED = 8  # times less
+_MOST_MET = 8  # pairs to a meeting of keys from which on all pairs cost less
+_MOST_HELD = 1 << 23  # links held at once
+
 
 class _Side:
     """A column of signatures with what bounds their common letters, in order of length."""
@@ -191,7 +210,11 @@ class _Side:
 
     def of(self, keep: np.ndarray) -> _Side:
         """The rows of the mask ``keep`` alone, by their row in the column."""
-        at, part = np.flatnonzero(keep[self.order]), copy(self)
+        return self.at(np.flatnonzero(keep[self.order]))
+
+    def at(self, at: np.ndarray) -> _Side:
+        """The rows at these places in order of length alone."""
+        part = copy(self)
         part.order, part.start, part.size, part.words = self.order[at], self.start[at], self.size[at], np.ascontiguousarray(self.words[:, at])
         part.beyond, part.bounds = [b[at] for b in self.beyond], {kind: b[at] for kind, b in self.bounds.items()}
         return part
@@ -237,8 +260,8 @@ def _common(x: _Side, i: np.ndarray, y: _Side, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within_reach(x: _Side, y: _Side, min_score: int, width: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j), in order of length, of the pairs of rows of x and y that could reach ``min_score``."""
+def _within_reach(x: _Side, y: _Side, min_score: int, once: bool = False, width: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), in order of length, of the pairs of rows of x and y that could reach ``min_score``; those with i < j if ``once``."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     total = 0
     need, need_of = np.zeros(0), -1
@@ -254,7 +277,7 @@ def _within_reach(x: _Side, y: _Side, min_score: int, width: int = 1 << 14) -> I
             need = np.minimum(need, np.iinfo(kind).max).astype(kind)
             beyond = y.bounds[kind]
         own = x.bounds[kind][i]
-        for at in range(low, high, width):
+        for at in range(max(low, i + 1) if once else low, high, width):
             end = min(at + width, high)
             n = end - at
             np.bitwise_and(y.words[0, at:end], x.words[0, i], out=ways[:n])
@@ -282,33 +305,236 @@ def _closer(held: list[tuple[np.ndarray, np.ndarray]], x: _Side, y: _Side, min_s
     return i[near], j[near]
 
 
+@cache
+def _sure(min_score: int) -> bool:
+    """Whether any two signatures of up to ``_LONG`` letters that score ``min_score`` have a key in common."""
+    both = np.arange(2, 2 * _LONG + 1)
+    need = np.maximum(1, -(-min_score * both // 200))
+    # need + 1 gaps: three to a key without outer marks; one or two over are left to the keys at the ends
+    keys, over = np.divmod(need + 1, 3)
+    least = (_GAPS + 1) * keys
+    one = least - (_GAPS + 1) + _GAPS_AHEAD + 1 + _GAPS_BEHIND + 1
+    two = least + max(_GAPS_AHEAD, _GAPS_BEHIND) + 1
+    least = np.where(over == 0, least, np.where(over == 1, np.maximum(least, one), two))
+    return bool((least > both - 2 * need).all())
+
+
+class _Keys:
+    """The keys of a side's rows, by their first letter."""
+
+    def __init__(self, side: _Side):
+        n = len(side.size)
+        wide = side.size + len(_MARKS)
+        first = np.cumsum(wide) - wide
+        self.row = np.repeat(np.arange(n, dtype=np.uint32), wide)
+        self.code = np.full(len(self.row) + _GAPS + 3, _OUTER_BEHIND, np.uint8)
+        for mark, at in ((_OUTER_AHEAD, first), (_AHEAD, first + 1), (_BEHIND, first + wide - 2)):
+            self.code[at] = mark
+        # letters from each to the inner mark behind
+        self.last = (np.repeat((first + wide - 2).astype(np.int32), wide) - np.arange(len(self.row), dtype=np.int32)).astype(np.int8)
+        place = np.arange(side.size.sum(), dtype=np.int32) - np.repeat((np.cumsum(side.size) - side.size).astype(np.int32), side.size)
+        self.code[place + np.repeat(first + 2, side.size)] = side.code[place + np.repeat(side.start, side.size)]
+
+    def of(self, letter: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that begin with the letter (the other three, and how many letters are left out) and their rows, in order of both."""
+        at = np.flatnonzero(self.code[: len(self.row)] == letter)
+        row, last = self.row[at].astype(np.uint64), self.last[at]
+        ahead = letter == _OUTER_AHEAD
+        here = [self.code[at + d].astype(np.uint32) for d in range(1, _GAPS + 4)]
+        found = []
+        for (a, b, c), gaps in _STEPS:
+            if ahead and (a > 1 or gaps > _GAPS_AHEAD):
+                continue
+            # the outer mark behind follows the inner one
+            behind = not ahead and c == 1 and gaps <= _GAPS_BEHIND
+            on = np.flatnonzero(last >= a + b + c - behind)
+            key = here[a - 1][on]
+            for d in (a + b, a + b + c):
+                key *= np.uint32(_CODES)
+                key += here[d - 1][on]
+            key *= np.uint32(_GAPS + 1)
+            key += np.uint32(gaps)
+            found.append(key.astype(np.uint64) << np.uint64(32) | row[on])
+        packed = np.concatenate(found)
+        packed.sort()
+        return (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _met(x: _Side, y: _Side, same: bool, most: int, stretch: int = 1 << 18, width: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(i, j, whole) of rows of x and y that have a key in common: pairs, for each key, or sets of which all pairs have one if
+    ``whole``. Of one table, if ``same``, a pair comes one way round. Once that is more work than ``most`` pairs, empty ones and no more."""
+    keys = _Keys(x)
+    others = keys if same else _Keys(y)
+    many = _CODES**3
+    crowds_held = [(np.zeros(len(x.size), bool), np.zeros(len(y.size), bool))]
+    for letter in range(_BEHIND):
+        k_y, r_y = others.of(letter)
+        k_x, r_x = (k_y, r_y) if same else keys.of(letter)
+        if not len(k_x) or not len(k_y):
+            continue
+        start = np.zeros((many + 1) * (_GAPS + 1) + 1, np.int64)
+        np.cumsum(np.bincount(k_y, minlength=len(start) - 1), out=start[1:])
+        allowed = _GAPS_AHEAD if letter == _OUTER_AHEAD else _GAPS
+        crowds = np.flatnonzero(np.diff(start[:: _GAPS + 1]) >= _CROWD)
+        for base in (crowds * (_GAPS + 1)).tolist():
+            rows_y = np.unique(r_y[start[base] : start[base + _GAPS + 1]]).astype(np.intp)
+            rows_x = rows_y if same else np.unique(r_x[slice(*np.searchsorted(k_x, np.array([base, base + _GAPS + 1], np.uint32)))]).astype(np.intp)
+            most -= len(rows_x) * len(rows_y) // _CROWDED
+            if most < 0:
+                break
+            # crowds of several keys are much the same rows: what an earlier one held already is left out
+            held = max(crowds_held, key=lambda c: np.count_nonzero(c[0][rows_x]) + np.count_nonzero(c[1][rows_y]))
+            old_x, old_y = held[0][rows_x], held[1][rows_y]
+            sets = [(rows_x[~old_x], rows_y)] + ([] if same else [(rows_x[old_x], rows_y[~old_y])])
+            for part_x, part_y in sets:
+                if len(part_x) and len(part_y):
+                    yield part_x, part_y, True
+            if not old_x.all() or not old_y.all():
+                mark = np.zeros(len(x.size), bool), np.zeros(len(y.size), bool)
+                mark[0][rows_x] = mark[1][rows_y] = True
+                crowds_held = [crowds_held[0], *crowds_held[1:][-7:], mark]
+        for at in range(0, len(k_x), stretch):
+            key = k_x[at : at + stretch].astype(np.intp)
+            gaps = key & _GAPS
+            base = key - gaps
+            # those of one table with gaps no less than one's own lie behind it
+            low = np.arange(at + 1, at + 1 + len(key)) if same else start[base]
+            count = start[base + (allowed + 1) - gaps] - low
+            if len(crowds):
+                count[np.isin(key // (_GAPS + 1), crowds)] = 0
+            on = np.flatnonzero(count > 0)
+            low, count, row = low[on], count[on], r_x[at + on].astype(np.intp)
+            total = np.concatenate([[0], np.cumsum(count)])
+            most -= int(total[-1])
+            if most < 0:
+                yield row[:0], row[:0], False
+                return
+            k = 0
+            while k < len(on):
+                end = max(k + 1, int(np.searchsorted(total, total[k] + width, "right")) - 1)
+                n = count[k:end]
+                i = np.repeat(row[k:end], n)
+                j = r_y[np.arange(len(i)) + np.repeat(low[k:end] - (total[k:end] - total[k]), n)].astype(np.intp)
+                if same:
+                    apart = np.flatnonzero(i != j)
+                    i, j = i[apart], j[apart]
+                if len(i):
+                    yield i, j, False
+                k = end
+
+
+def _links_by_keys(x: _Side, y: _Side, min_score: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(i, j, score) of the pairs of rows of the columns of x and y that score ``min_score``, of one table those with i < j; None where
+    all pairs cost less."""
+    m = len(y.size)
+    done, score, held, total = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    need = (-(-min_score * np.arange(2 * _LONG + 1) // 200)).astype(np.uint8)
+    beyond = [s.beyond[0].astype(np.uint8) for s in (x, y)]
+    sizes = [s.size.astype(np.uint8) for s in (x, y)]
+
+    def take() -> None:
+        nonlocal done, score, total
+        pair = np.unique(np.concatenate(held))
+        held.clear()
+        total = 0
+        if len(done):
+            at = np.minimum(np.searchsorted(done, pair), len(done) - 1)
+            pair = pair[done[at] != pair]
+        i, j = pair // m, pair % m
+        value = 200 * _common(x, i, y, j) // (x.size[i] + y.size[j])
+        good = value >= min_score
+        done, score = np.concatenate([done, pair[good]]), np.concatenate([score, value[good]])
+        by = np.argsort(done, kind="stable")
+        done, score = done[by], score[by]
+
+    def hold(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal total
+        held.append(np.minimum(i, j) * m + np.maximum(i, j) if same else i * m + j)
+        total += len(i)
+        if total > 1 << 21:
+            take()
+
+    for i, j, whole in _met(x, y, same, len(x.size) * m // _MOST_MET):
+        if not len(i) or len(done) > _MOST_HELD:
+            return None
+        if whole:
+            for a, b in _within_reach(x.at(i), y.at(j), min_score, same and len(i) == len(j)):
+                a, b = i[a], j[b]
+                if same:
+                    apart = a != b
+                    a, b = a[apart], b[apart]
+                hold(a, b)
+            continue
+        most = np.minimum(beyond[0].take(i), beyond[1].take(j))
+        for time in range(2):
+            both = x.words[time].take(i)
+            both &= y.words[time].take(j)
+            most += np.bitwise_count(both)
+        near = np.flatnonzero(most >= need.take(sizes[0].take(i) + sizes[1].take(j)))
+        if len(near):
+            hold(*_closer([(i[near], j[near])], x, y, min_score))
+    if held:
+        take()
+    i, j = x.order[done // m], y.order[done % m]
+    return (np.minimum(i, j), np.maximum(i, j), score) if same else (i, j, score)
+
+
 def _links(x: list[_Side], y: list[_Side], min_score: int, same: bool, pairs: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, score) of all pairs of rows of x and y of which one of the sides scores ``min_score`` or more, each once, with its
-    best score; of pairs of rows of one table, if ``same``, those with i < j. A stretch of rows at a time, so that few are held."""
+    best score; of pairs of rows of one table, if ``same``, those with i < j. Some rows at a time, so that few links are held."""
     n, m = len(x[0].size), len(y[0].size)
-    step = max(1, pairs // m)
     row, other = np.arange(n), np.arange(m)
-    for k in range(0, n, step):
-        found = []
-        for a, b in zip(x, y):
-            a = a.of((row >= k) & (row < k + step))
-            if same:
-                b = b.of(other > k)
-            for i, j in _within_reach(a, b, min_score):
-                if same:
-                    ahead = a.order[i] < b.order[j]
-                    i, j = i[ahead], j[ahead]
-                score = 200 * _common(a, i, b, j) // np.maximum(a.size[i] + b.size[j], 1)
-                good = score >= min_score
-                found.append((a.order[i[good]], b.order[j[good]], score[good]))
-        if not found:
-            continue
+
+    def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j, score = (np.concatenate(c) for c in zip(*found))
         by = np.lexsort((-score, j, i))
         i, j, score = i[by], j[by], score[by]
         first = np.ones(len(i), bool)
         first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        yield i[first], j[first], score[first]
+        return i[first], j[first], score[first]
+
+    def of_all(a: _Side, b: _Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j in _within_reach(a, b, min_score):
+            if same:
+                ahead = a.order[i] < b.order[j]
+                i, j = i[ahead], j[ahead]
+            score = 200 * _common(a, i, b, j) // np.maximum(a.size[i] + b.size[j], 1)
+            good = score >= min_score
+            yield a.order[i[good]], b.order[j[good]], score[good]
+
+    def by_keys(a: _Side, b: _Side, one: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        short = [s.at(np.flatnonzero((s.size > 0) & (s.size <= _LONG))) for s in (a, b)]
+        found = _links_by_keys(*short, min_score, one)
+        if found is None:
+            return None
+        long = [s.at(np.flatnonzero(s.size > _LONG)) for s in (a, b)]
+        return [found, *of_all(long[0], b), *of_all(short[0], long[1])]
+
+    if n * m < _KEYS_PAY**2 or not _sure(min_score):
+        blocks = [(0, n, 0, m)]
+    else:
+        blocks = [(k, min(n, k + _BLOCK), h, min(m, h + _BLOCK)) for k in range(0, n, _BLOCK) for h in range(k if same else 0, m, _BLOCK)]
+    for low, high, start, end in blocks:
+        if (high - low) * (end - start) >= _KEYS_PAY**2 and _sure(min_score):
+            found = []
+            for a, b in zip(x, y):
+                a, b = a.of((row >= low) & (row < high)), b.of((other >= start) & (other < end))
+                some = by_keys(a, b, same and low == start)
+                if some is None:
+                    break
+                found += some
+            else:
+                yield best(found)
+                continue
+        step = max(1, pairs // (end - start))
+        for k in range(low, high, step):
+            found = []
+            for a, b in zip(x, y):
+                a = a.of((row >= k) & (row < min(k + step, high)))
+                b = b.of((other >= start) & (other < end) & (other > k if same else True))
+                found += of_all(a, b)
+            if found:
+                yield best(found)
 
 
 def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, second: pa.Array, columns: list[pa.Array], min_score: int) -> pa.RecordBatch:
@@ -353,7 +579,7 @@ def _found_in_cell(half: np.ndarray, node: np.ndarray, one: np.ndarray, second:
     return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(count[some]), pa.array(arg[some], mask=none), pa.array(best[some].astype(np.int32), mask=none)], ["node", "tied", "n", "other", "score"])
 
 
-def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 << 18, least_rows: int = 1 << 12, least_blocks: int = 4) -> DataFrame:
+def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 << 18, least_rows: int = 1 << 17, least_blocks: int = 4) -> DataFrame:
     """(node, tied, n, other, score) among classes (node, one, second, block_size, signature, signature2) of different fingerprints.
 
     Every pair with a score of ``min_score`` or more is a link. The n of a node sum up to its links; pairs (node, tied) span them; the
@@ -361,8 +587,8 @@ def class_links(classes: DataFrame, min_score: int = 60, block_rows: int = 3 <<
     node's own ``one``, as an id may have several texts. Signatures are compared where block sizes
     agree: both own ones, both double ones, or one's own with the other's double, and the best score counts.
 
-    Classes of a block size are spread over blocks. Each pair of blocks of one size, or of one and its double, is a task's cell, and
-    all of its pairs are looked at, so no task holds more than two blocks and the work is quadratic in the classes.
+    Classes of a block size are spread over blocks. Each pair of blocks of one size, or of one and its double, is a task's cell, so no
+    task holds more than two blocks. In small cells all pairs are looked at, in larger ones those that have a key in common.
     """
     sizes = sorted((r["block_size"], r["count"]) for r in classes.groupBy("block_size").count().collect())
     many = [max(min(least_blocks, -(-n // least_rows)), -(-n // block_rows)) for _, n in sizes]
